@@ -1 +1 @@
-
+"""Cardinality estimation and the catalogue of registered queries."""

@@ -1,4 +1,272 @@
-"""Registered queries of the relational toolkit and their DuckDB SQL."""
+"""Registered queries of the relational toolkit and their DuckDB SQL.
+
+Sums of doubles are made of exact decimals in both, so that their order does not
+matter.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cedarflow.operators import relational as ops
+from cedarflow.plans import estimates
+from cedarflow.sources import tables
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+PARTSUPP_SQL = """(SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, CAST(max(l_quantity) AS INT) AS ps_availqty,
+  min(l_extendedprice) / 100.0 AS ps_supplycost FROM lineitem GROUP BY l_partkey, l_suppkey)"""
+DEC4 = "CAST(SUM(CAST({} AS DECIMAL(18,4))) AS DOUBLE)"
+DEC = "CAST(SUM(CAST({} AS DECIMAL(18,2))) AS DOUBLE)"
+
+
+def query(sql: str):
+    def register(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def partsupp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relation that the test tables lack, derived from lineitem."""
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).agg(
+        F.max("l_quantity").cast("int").alias("ps_availqty"), (F.min("l_extendedprice") / F.lit(100.0)).alias("ps_supplycost")
+    )
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares, else in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def scan_heap(spark, d):
+    return table(spark, d, "region")
+
+
+@query("SELECT * FROM nation")
+def scan_nation(spark, d):
+    return table(spark, d, "nation")
+
+
+@query("SELECT r_regionkey, r_name FROM region WHERE r_name = 'EUROPE'")
+def filter_eq_string(spark, d):
+    return ops.select(table(spark, d, "region"), "(r_name = 'EUROPE')")
+
+
+@query("SELECT * FROM nation WHERE n_regionkey = 3 AND n_nationkey > 10")
+def filter_and_range(spark, d):
+    return ops.select(table(spark, d, "nation"), "(n_regionkey = 3) AND (n_nationkey > 10)")
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND (l_discount < 0.04 OR l_linestatus = 'F')")
+def filter_or_cnf(spark, d):
+    return ops.project(ops.select(table(spark, d, "lineitem"), "(l_returnflag = 'R') AND (l_discount < 0.04 OR l_linestatus = 'F')"), ["l_orderkey", "l_partkey", "l_suppkey"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_partkey > l_suppkey")
+def filter_attr_attr(spark, d):
+    return ops.project(ops.select(table(spark, d, "lineitem"), "(l_partkey > l_suppkey)"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE 50 > s_suppkey")
+def filter_lit_left(spark, d):
+    return ops.select(table(spark, d, "supplier"), "(50 > s_suppkey)")
+
+
+@query("SELECT CAST(1 AS INT) AS one, s_suppkey FROM supplier WHERE 1 < 2 AND s_suppkey < 7")
+def filter_lit_lit(spark, d):
+    df = ops.select(table(spark, d, "supplier"), "(1 < 2) AND (s_suppkey < 7)")
+    return df.select(F.lit(1).alias("one"), "s_suppkey")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate > TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-02-01'")
+def filter_date_string(spark, d):
+    return ops.project(ops.select(table(spark, d, "lineitem"), "(l_shipdate > '1996-01-01') AND (l_shipdate < '1996-02-01')"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' AND o_totalprice > 1015.68 AND o_totalprice < 200000")
+def filter_five_conjuncts(spark, d):
+    return ops.project(ops.select(table(spark, d, "orders"), "(o_orderpriority = '1-URGENT') AND (o_orderstatus = 'O') AND (o_totalprice > 1015.68) AND (o_totalprice < 200000)"), ["o_orderkey", "o_totalprice"])
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def select_all_identity(spark, d):
+    return ops.project(ops.select(ops.select(table(spark, d, "supplier"), "(s_suppkey = s_suppkey)"), "(s_suppkey)"), [0, 1])
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000.0")
+def select_pipe(spark, d):
+    return ops.select(ops.project(table(spark, d, "customer"), ["c_custkey", "c_acctbal"]), "(c_acctbal > 5000.0)")
+
+
+@query("SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_retailprice > 905 AND p_retailprice < 910")
+def project_cols(spark, d):
+    return ops.project(ops.select(table(spark, d, "part"), "(p_retailprice > 905) AND (p_retailprice < 910)"), ["p_partkey", "p_name", "p_retailprice"])
+
+
+@query(f"SELECT {DEC.format('s_acctbal + (s_acctbal * 1.05)')} AS sum FROM (SELECT CAST(s_acctbal AS DOUBLE) AS s_acctbal FROM supplier)".replace("1.05", "CAST(1.05 AS DOUBLE)"))
+def sum_expr(spark, d):
+    return ops.sum_of(table(spark, d, "supplier"), "(s_acctbal + (s_acctbal * 1.05))", scale=2)
+
+
+@query("SELECT CAST(SUM(l_linenumber) AS BIGINT) AS sum FROM lineitem")
+def sum_int(spark, d):
+    return ops.sum_of(table(spark, d, "lineitem"), "(l_linenumber)")
+
+
+@query("SELECT CAST(SUM(l_linenumber) AS BIGINT) AS sum FROM lineitem WHERE l_partkey < 0")
+def sum_empty(spark, d):
+    return ops.sum_of(ops.select(table(spark, d, "lineitem"), "(l_partkey < 0)"), "(l_linenumber)")
+
+
+@query("SELECT o_orderkey, CAST(o_custkey // 7 AS BIGINT) AS v, CAST(-(o_custkey // 7) AS BIGINT) AS w FROM orders")
+def expr_int_div(spark, d):
+    df = ops.compute(ops.compute(table(spark, d, "orders"), "v", "(o_custkey / 7)"), "w", "- (o_custkey / 7)")
+    return ops.project(df, ["o_orderkey", "v", "w"])
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS DOUBLE) + (l_quantity * 2) AS v FROM lineitem")
+def expr_mixed(spark, d):
+    return ops.project(ops.compute(table(spark, d, "lineitem"), "v", "(l_linenumber + (l_quantity * 2))"), ["l_orderkey", "l_linenumber", "v"])
+
+
+@query("SELECT s_suppkey, -(s_acctbal + 1.0) AS v FROM supplier")
+def expr_unary_minus(spark, d):
+    return ops.project(ops.compute(table(spark, d, "supplier"), "v", "- s_acctbal + 1.0"), ["s_suppkey", "v"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity - (l_discount - l_tax) AS v FROM lineitem")
+def expr_right_assoc(spark, d):
+    return ops.project(ops.compute(table(spark, d, "lineitem"), "v", "l_quantity - l_discount - l_tax"), ["l_orderkey", "l_linenumber", "v"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity * l_discount - l_tax AS v FROM lineitem")
+def expr_standard_precedence(spark, d):
+    return ops.project(ops.compute(table(spark, d, "lineitem"), "v", "l_quantity * l_discount - l_tax", "standard"), ["l_orderkey", "l_linenumber", "v"])
+
+
+@query(f"SELECT {DEC4.format('ps_supplycost')} AS sum FROM supplier JOIN {PARTSUPP_SQL} ps ON s_suppkey = ps_suppkey")
+def join_equi_sum(spark, d):
+    return ops.sum_of(ops.join(table(spark, d, "supplier"), partsupp(spark, d), "(s_suppkey = ps_suppkey)"), "(ps_supplycost)", scale=4)
+
+
+@query(f"SELECT ps_partkey, ps_suppkey, l_orderkey, l_linenumber FROM {PARTSUPP_SQL} ps JOIN lineitem ON ps_partkey = l_partkey AND ps_suppkey = l_suppkey")
+def join_multi_key(spark, d):
+    joined = ops.join(partsupp(spark, d), table(spark, d, "lineitem"), "(ps_partkey = l_partkey) AND (ps_suppkey = l_suppkey)")
+    return ops.project(joined, ["ps_partkey", "ps_suppkey", "l_orderkey", "l_linenumber"])
+
+
+@query("SELECT s_suppkey, l_orderkey, l_linenumber FROM supplier JOIN lineitem ON s_suppkey = l_suppkey AND l_extendedprice > s_acctbal")
+def join_equi_residual(spark, d):
+    return ops.project(ops.join(table(spark, d, "supplier"), table(spark, d, "lineitem"), "(s_suppkey = l_suppkey) AND (l_extendedprice > s_acctbal)"), ["s_suppkey", "l_orderkey", "l_linenumber"])
+
+
+@query("SELECT s_suppkey, c_custkey, s_nationkey, c_nationkey FROM supplier JOIN customer ON s_nationkey = c_nationkey")
+def join_many_to_many(spark, d):
+    return ops.project(ops.join(table(spark, d, "supplier"), table(spark, d, "customer"), "(s_nationkey = c_nationkey)"), ["s_suppkey", "c_custkey", "s_nationkey", "c_nationkey"])
+
+
+@query("SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON s_suppkey < 4 AND s_suppkey > n_nationkey")
+def join_theta_nl(spark, d):
+    return ops.project(ops.join(table(spark, d, "supplier"), table(spark, d, "nation"), "(s_suppkey < 4) AND (s_suppkey > n_nationkey)"), ["s_suppkey", "n_nationkey"])
+
+
+@query(f"SELECT {DEC4.format('ps_supplycost')} AS sum FROM part JOIN {PARTSUPP_SQL} ps ON p_partkey = ps_partkey JOIN supplier ON s_suppkey = ps_suppkey WHERE s_acctbal > 2500.0")
+def join_three_way_sum(spark, d):
+    two = ops.join(table(spark, d, "part"), partsupp(spark, d), "(p_partkey = ps_partkey)")
+    return ops.sum_of(ops.join(two, ops.select(table(spark, d, "supplier"), "(s_acctbal > 2500.0)"), "(ps_suppkey = s_suppkey)"), "(ps_supplycost)", scale=4)
+
+
+@query("""SELECT n1.n_nationkey AS n1_n_nationkey, n1.n_name AS n1_n_name, n1.n_regionkey AS n1_n_regionkey,
+  n2.n_nationkey AS n2_n_nationkey, n2.n_name AS n2_n_name, n2.n_regionkey AS n2_n_regionkey
+  FROM nation n1 JOIN nation n2 ON n1.n_regionkey = n2.n_regionkey""")
+def join_self_alias(spark, d):
+    nation = table(spark, d, "nation")
+    return ops.join(nation, nation, "(n1.n_regionkey = n2.n_regionkey)", "n1", "n2")
+
+
+@query(f"SELECT {DEC4.format('ps_supplycost')} AS sum, s_nationkey FROM supplier JOIN {PARTSUPP_SQL} ps ON s_suppkey = ps_suppkey GROUP BY s_nationkey")
+def group_sum(spark, d):
+    joined = ops.join(table(spark, d, "supplier"), partsupp(spark, d), "(s_suppkey = ps_suppkey)")
+    return ops.group_sum(joined, "(s_nationkey)", "(ps_supplycost)", scale=4)
+
+
+@query(f"SELECT {DEC.format('l_extendedprice')} AS sum, l_returnflag, l_linestatus FROM lineitem GROUP BY l_returnflag, l_linestatus")
+def group_sum_multi(spark, d):
+    return ops.group_sum(table(spark, d, "lineitem"), "(l_returnflag) AND (l_linestatus)", "(l_extendedprice)", scale=2)
+
+
+@query(f"SELECT DISTINCT ps_suppkey FROM {PARTSUPP_SQL} ps WHERE ps_supplycost < 100.11")
+def distinct_one(spark, d):
+    return ops.distinct(ops.project(ops.select(partsupp(spark, d), "(ps_supplycost < 100.11)"), ["ps_suppkey"]))
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+def distinct_all(spark, d):
+    return ops.distinct(ops.project(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"]))
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_name")
+def sort_single(spark, d):
+    return ops.sort(ops.project(table(spark, d, "customer"), ["c_custkey", "c_name"]), "(c_name)")
+
+
+@query("SELECT l_shipdate, l_extendedprice, l_quantity FROM lineitem ORDER BY 1, 2, 3")
+def sort_multi(spark, d):
+    return ops.sort(ops.project(table(spark, d, "lineitem"), ["l_shipdate", "l_extendedprice", "l_quantity"]), "(l_shipdate) AND (l_extendedprice) AND (l_quantity)")
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def sorted_merge(spark, d):
+    supplier = table(spark, d, "supplier")
+    t = tables.create(spark, scratch(spark, "sorted"), supplier.schema, "sorted", "(s_suppkey)")
+    t.append(supplier.filter("s_suppkey % 2 = 1"))
+    t.merge()
+    t.append(supplier.filter("s_suppkey % 2 = 0"))
+    return t.scan()
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 10 AND o_totalprice > 1000.0")
+def sorted_keyed_scan(spark, d):
+    orders = ops.project(table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"])
+    t = tables.create(spark, scratch(spark, "sorted"), orders.schema, "sorted", "(o_custkey) AND (o_orderkey)")
+    t.append(orders)
+    return t.lookup("(o_custkey = 10) AND (o_totalprice > 1000.0)")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer")
+def heap_load_append(spark, d):
+    customer = ops.project(table(spark, d, "customer"), ["c_custkey", "c_name", "c_nationkey"])
+    t = tables.create(spark, scratch(spark, "heap"), customer.schema)
+    t.append(customer.filter("c_custkey < 700"))
+    t.append(customer.filter("c_custkey >= 700"))
+    return tables.open_table(spark, t.path).scan()
+
+
+@query("SELECT 'n_nationkey:[' || n_nationkey || '], n_name:[' || n_name || '], n_regionkey:[' || n_regionkey || ']' AS line FROM nation")
+def write_out_text(spark, d):
+    return ops.format_rows(table(spark, d, "nation"))
+
+
+def _estimate(name: str):
+    def run(spark, d):
+        return spark.sql(f"SELECT CAST({estimates.run(name)} AS BIGINT) AS estimate")
+
+    return run
+
+
+for _name, (*_, _expected) in estimates.CASES.items():
+    QUERIES[_name] = _estimate(_name)
+    ORACLES[_name] = f"SELECT CAST({_expected} AS BIGINT) AS estimate"

@@ -1 +1 @@
-
+"""Catalogs, delimited text files and stored tables."""

@@ -1 +1 @@
-
+"""Inputs are bounded tables and files; there are no streaming operators."""

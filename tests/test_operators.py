@@ -1,0 +1,63 @@
+"""Operators on small frames, and the plans they give."""
+
+import io
+
+import pytest
+
+from cedarflow.errors import UnknownColumn
+from cedarflow.operators import relational as ops
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_repeat_on_both_sides(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "k int, v string")
+    b = spark.createDataFrame([(1, 10), (1, 20), (3, 30)], "j int, w int")
+    assert sorted(tuple(r) for r in ops.join(a, b, "(k = j)").collect()) == [(1, "x", 1, 10), (1, "x", 1, 20), (1, "y", 1, 10), (1, "y", 1, 20)]
+    assert ops.join(a, b, "(k = j) AND (w = 10)").count() == 2
+    assert ops.join(a, b, "(k < j)").count() == 3
+    assert ops.join(a, b.limit(0), "(k = j)").count() == 0
+
+
+def test_join_plans(spark):
+    a, b = spark.range(10).toDF("k"), spark.range(10).toDF("j")
+    assert "SortMergeJoin" in plan(ops.join(a, b, "(k = j) AND (k < 5)", hint="merge"))
+    assert "NestedLoop" in plan(ops.join(a, b, "(k < j)")) or "Cartesian" in plan(ops.join(a, b, "(k < j)"))
+
+
+def test_filters_reach_the_scan(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    one = plan(ops.project(ops.select(df, "(l_quantity > 5)"), ["l_orderkey"]))
+    assert "GreaterThan(l_quantity,5.0)" in one and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in one
+    assert "Or(LessThan(l_tax,0.04)" in plan(ops.project(ops.select(df, "(l_tax < 0.04 OR l_linenumber = 1)"), ["l_tax"]))
+
+
+def test_groups_keep_their_own_sums(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 20), ("a", 2), ("c", 300)], "k string, v int")
+    out = ops.group_sum(df, "(k)", "(v)")
+    assert out.columns == ["sum", "k"] and sorted(tuple(r) for r in out.collect()) == [(3, "a"), (20, "b"), (300, "c")]
+    assert ops.group_sum(df.limit(0), ["k"], "v").count() == 0
+    with pytest.raises(UnknownColumn):
+        ops.group_sum(df, ["z"], "v")
+
+
+def test_project_distinct_sort(spark):
+    df = spark.createDataFrame([(2, "b", 1.0), (1, "a", 2.0), (2, "b", 1.0)], "k int, s string, d double")
+    assert ops.project(df, [1, 0]).columns == ["s", "k"]
+    for bad in ([3], ["z"]):
+        with pytest.raises(UnknownColumn):
+            ops.project(df, bad)
+    assert ops.distinct(df).count() == 2
+    assert [r["k"] for r in ops.sort(df, "(s) AND (k)").collect()] == [1, 2, 2]
+    assert ops.all_column_order(df.select("s", "d", "k")) == ["k", "d", "s"]
+
+
+def test_text_forms(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.5, "a'b"), (None, None, None)], "i int, d double, s string")
+    assert [r["line"] for r in ops.format_rows(df).collect()] == ["i:[1], d:[2.500000], s:[a'b]", "i:[], d:[], s:[]"]
+    ops.write_out(df, str(tmp_path / "o"))
+    assert spark.read.text(str(tmp_path / "o")).count() == 2
+    to = io.StringIO()
+    assert ops.print_rows(df.limit(1), to) == 1 and to.getvalue() == "i: [1], d: [2.5], s: [a'b]\n"
