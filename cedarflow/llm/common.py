@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text is handed to numpy in blocks of about this many code points.
 BLOCK_CHARS = 1 << 20
@@ -73,3 +74,12 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 *
                 start, held = i, 0
             held += size
         yield batch.slice(start, n - start)
+
+
+def with_own_columns(docs: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` over ``docs`` with every column but doc_id, text, lang and n_chars
+    under a name that cannot clash; the result has the columns of ``docs``."""
+    plain = ("doc_id", "text", "lang", "n_chars")
+    names = {c: c if c in plain else f"_own_{i}" for i, c in enumerate(docs.columns)}
+    out = run(docs.toDF(*names.values()))
+    return out.select(*[F.col(f"`{new}`").alias(old) for old, new in names.items()])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cedarflow.llm.common import small_batches
+from cedarflow.llm.common import small_batches, with_own_columns
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
@@ -176,6 +176,5 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their columns as they came."""
-    marked = mark_contamination(docs, benchmark)
     n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda acc, r: acc + (r["end"] - r["start"]))
-    return marked.filter(~is_contaminated(n_hit, F.col("n_words"))).select(*docs.columns)
+    return with_own_columns(docs, lambda own: mark_contamination(own, benchmark).filter(~is_contaminated(n_hit, F.col("n_words"))))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cedarflow.llm.common import BLOCK_CHARS, small_batches
+from cedarflow.llm.common import BLOCK_CHARS, small_batches, with_own_columns
 
 BITS = 16
 SIZES = (2, 3, 4)
@@ -282,4 +282,4 @@ def langid_report(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected, with their columns as they came."""
     model = fit(docs.select("doc_id", "text", "lang"))
-    return identify(docs, model).filter("not rejected").select(*docs.columns)
+    return with_own_columns(docs, lambda own: identify(own, model).filter("not rejected"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cedarflow.llm import decontam, fingerprint, langid, packing, pii, tokenbin
+from cedarflow.llm import chat, decontam, fingerprint, langid, linededup, packing, pii, tokenbin, urlfilter
 from cedarflow.llm.common import read_table
 
 
@@ -10,10 +10,18 @@ def op1_language_id(spark, sf_dir):
     return langid.langid_report(read_table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark, sf_dir):
+    return linededup.line_dedup_report(read_table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark, sf_dir):
     return pii.pii_report(read_table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark, sf_dir):
+    return urlfilter.judge_urls(read_table(spark, sf_dir, "pages"))
+
+
 def op6_fingerprints(spark, sf_dir):
     return fingerprint.fingerprint_report(read_table(spark, sf_dir, "documents"))
 
@@ -22,6 +30,10 @@ def op7_token_files(spark, sf_dir):
     return tokenbin.token_file_report(read_table(spark, sf_dir, "documents"))
 
 
+def op8_chat_format(spark, sf_dir):
+    return chat.chat_report(chat.with_probe(read_table(spark, sf_dir, "conversations")))
+
+
 def op9_decontamination(spark, sf_dir):
     return decontam.contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -30,5 +42,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_pii, op6_fingerprints, op7_token_files, op9_decontamination, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_pii, op4_url_filter, op6_fingerprints, op7_token_files, op8_chat_format, op9_decontamination, op10_packing)}
 ORACLES: dict[str, str] = {}

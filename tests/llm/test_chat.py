@@ -1,0 +1,60 @@
+"""Formatting, escaping and reading back."""
+
+import hashlib
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from cedarflow.llm import chat
+
+
+def sha(t):
+    return hashlib.sha256(t.encode()).hexdigest()
+
+
+def brute(rows):
+    convs = {}
+    for c, t, r, x in rows:
+        convs.setdefault(c, []).append((-(2**63) if t is None else t, r or "", x or ""))
+    out = []
+    for c, turns in convs.items():
+        turns.sort()
+        learnt = "".join(x for _, r, x in turns if r == "assistant")
+        out.append((str(c), len(turns), sha("".join(f"{r}\n{x}\n" for _, r, x in turns)), len(learnt), sha(learnt)))
+    return sorted(out)
+
+
+def test_round_trip(spark):
+    rng = random.Random(2)
+    bits = ["<|", "|>", "<|end|>", "<|turn|>", "<|text|>", "\\", "\\\\", "[INST]", "[/INST]", "<s>", "</s>", "<", "[", "\n", "é", "🙂", "ok", " ", "<\\", "[\\", "<<SYS>>"]
+    rows = [(i % 40, rng.choice([None, *range(200)]), rng.choice(["user", "assistant", "system", None, "a<|text|>\nb"]), "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))) for i in range(900)]
+    rows += [(1, 5, "assistant", None), (None, 1, "assistant", "x" * 200000), (1, 5, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((str(r["conv_id"]), r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.chat_report(df).collect())
+    assert got == brute(rows)
+    for r in chat.chat_report(df).collect():
+        assert r["formatted_chars"] == len(r["formatted"]) and "[INST]" not in r["formatted"] and "</s>" not in r["formatted"]
+    assert chat.chat_report(df.limit(0)).count() == 0
+    probe = chat.chat_report(chat.with_probe(df.limit(0))).first()
+    assert probe["conv_id"] == -7 and probe["n_turns"] == 2 and probe["loss_sha256"] == sha("</s>[INST] ok [/INST]")
+
+
+def test_layouts(spark):
+    a = spark.createDataFrame([(1, [("user", "hi"), ("assistant", None)])], "id int, messages array<struct<role:string,content:string>>")
+    assert chat.canonical_turns(a, "id").first()["turns"] == [("user", "hi"), ("assistant", "")]
+    b = spark.createDataFrame([("do", "it", "done"), ("do", "", "done")], "instruction string, input string, output string")
+    assert [r["turns"][0]["text"] for r in chat.canonical_turns(b).collect()] == ["do\n\nit", "do"]
+    with pytest.raises(ValueError):
+        chat.canonical_turns(spark.createDataFrame([(1,)], "odd int"))
+    texts = [
+        {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, {"prompt": "p", "response": "r"},
+        {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, {"instruction": "i", "output": "o"}, {"x": 1}, {"system": "s", "prompt": "p", "response": None},
+    ]
+    rows = [(json.dumps(t),) for t in texts] + [("not json",), (None,)]
+    out = chat.json_turns(spark.createDataFrame(rows, "j string"), "j").select("turns", F.col("layout").isNull().alias("none")).collect()
+    assert [None if r["turns"] is None else [tuple(t) for t in r["turns"]] for r in out] == [
+        [("user", "q"), ("assistant", "a")], [("user", "p"), ("assistant", "r")], [("user", "q"), ("assistant", "a")], [("user", "i"), ("assistant", "o")], None,
+        [("system", "s"), ("user", "p"), ("assistant", "")], None, None]
+    assert [r["none"] for r in out] == [False] * 4 + [True, False, True, True]
