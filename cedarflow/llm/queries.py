@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cedarflow.llm import chat, decontam, fingerprint, langid, linededup, packing, pii, tokenbin, urlfilter
+from cedarflow.llm import chat, decontam, fingerprint, langid, linededup, minhash, packing, pii, tokenbin, urlfilter
 from cedarflow.llm.common import read_table
 
 
@@ -22,6 +22,10 @@ def op4_url_filter(spark, sf_dir):
     return urlfilter.judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op5_near_duplicates(spark, sf_dir):
+    return minhash.group_near_duplicates(read_table(spark, sf_dir, "documents"), 85)
+
+
 def op6_fingerprints(spark, sf_dir):
     return fingerprint.fingerprint_report(read_table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_pii, op4_url_filter, op6_fingerprints, op7_token_files, op8_chat_format, op9_decontamination, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_pii, op4_url_filter, op5_near_duplicates, op6_fingerprints, op7_token_files, op8_chat_format, op9_decontamination, op10_packing)}
 ORACLES: dict[str, str] = {}
