@@ -67,9 +67,10 @@ def shingle_hashes(texts: list[str | None], size: int = 5) -> Iterator[np.ndarra
         words, starts = word_hashes(b" ".join(block))
         n = len(words)
         edges = np.searchsorted(starts, at)
-        rolled = np.zeros(max(0, n - size + 1), U)
+        m = max(0, n - size + 1)
+        rolled = np.zeros(m, U)
         for j in range(size):
-            rolled += words[j : n - size + 1 + j] * U(ODD * (2 * j + 1) % (1 << 64) | 1)
+            rolled += words[j : m + j] * U(ODD * (2 * j + 1) % (1 << 64) | 1)
         rolled = mix(rolled)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if b - a >= size:
