@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,8 +81,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "fingerprint", samples: int = SAMPLES) -> DataFrame:
     """``docs`` with the fingerprint of ``text_col`` (a clashing column is replaced)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def signed(texts: pd.Series) -> pd.Series:
         return pd.Series([to_hex(signature(h, samples)) for h in shingle_hashes(list(texts))], index=texts.index)
