@@ -15,6 +15,8 @@ import numpy as np
 
 U = np.uint64
 BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=U) | U(1)
+#: By position in a shingle; no small sums of them may be equal.
+PLACES = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=U) * U(2) + U(1)
 ODD = 0x9E3779B97F4A7C15
 INVERSE = pow(ODD, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
@@ -70,7 +72,7 @@ def shingle_hashes(texts: list[str | None], size: int = 5) -> Iterator[np.ndarra
         m = max(0, n - size + 1)
         rolled = np.zeros(m, U)
         for j in range(size):
-            rolled += words[j : m + j] * U(ODD * (2 * j + 1) % (1 << 64) | 1)
+            rolled += words[j : m + j] * PLACES[j]
         rolled = mix(rolled)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if b - a >= size:

@@ -71,4 +71,8 @@ def test_fingerprints_brute(spark):
 def test_shingles_take_lower_case_words_and_white_space():
     a, b, c = (set(x.tolist()) for x in shingle_hashes(["A b\tC d\x0be F", "a b c d e f", "a b c d e g"]))
     assert a == b and len(a) == 2 and len(a & c) == 1
+    rng = random.Random(2)
+    for _ in range(300):  # few words, often repeated
+        w = [rng.choice("abc") for _ in range(rng.randint(5, 80))]
+        assert len(set(next(shingle_hashes([" ".join(w)])).tolist())) == len({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
     assert [len(x) for x in shingle_hashes([None, "", " \n", "a b", "x " * 400000])] == [0, 0, 0, 1, 399996]
