@@ -47,4 +47,29 @@ def op10_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_pii, op4_url_filter, op5_near_duplicates, op6_fingerprints, op7_token_files, op8_chat_format, op9_decontamination, op10_packing)}
-ORACLES: dict[str, str] = {}
+
+
+def _escaped(column: str) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for c in chat.CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+_TEXT = "</s>[INST] ok [/INST]"
+_TURN = f"'{chat.TURN}' || er || '{chat.TEXT}' || ex || '{chat.END}'"
+
+ORACLES: dict[str, str] = {
+    "op8_chat_format": f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{_TEXT}'
+), e AS (SELECT *, {_escaped("r")} AS er, {_escaped("x")} AS ex FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn, r, x)) AS turns_sha256,
+  CAST(coalesce(sum(CASE WHEN r = 'assistant' THEN length(x) ELSE 0 END), 0) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN r = 'assistant' THEN x ELSE '' END, '' ORDER BY turn, r, x)) AS loss_sha256,
+  CAST(sum(length({_TURN})) AS BIGINT) AS formatted_chars,
+  string_agg({_TURN}, '' ORDER BY turn, r, x) AS formatted
+FROM e GROUP BY conv_id"""
+}
