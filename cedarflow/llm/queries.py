@@ -39,7 +39,7 @@ def op8_chat_format(spark, sf_dir):
 
 
 def op9_decontamination(spark, sf_dir):
-    return decontam.contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return decontam.contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("hit_spans")
 
 
 def op10_packing(spark, sf_dir):
@@ -59,7 +59,27 @@ def _escaped(column: str) -> str:
 _TEXT = "</s>[INST] ok [/INST]"
 _TURN = f"'{chat.TURN}' || er || '{chat.TEXT}' || ex || '{chat.END}'"
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(table: str) -> str:
+    return f"SELECT *, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table}"
+
+
 ORACLES: dict[str, str] = {
+    "op9_decontamination": f"""
+WITH d AS ({_words("documents")}), b AS ({_words("benchmark")}),
+bp AS (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - {decontam.WINDOW} + 2))) AS i FROM b WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, least(len(w), {decontam.WINDOW}) AS n, array_to_string(w[i:i + {decontam.WINDOW} - 1], ' ') AS win FROM bp),
+sizes AS (SELECT DISTINCT n FROM wins),
+dp AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM dp CROSS JOIN sizes WHERE i + n - 1 <= len(w)),
+hit AS (SELECT dw.doc_id, dw.i, dw.n, wins.item_id FROM dw JOIN wins ON dw.win = wins.win AND dw.n = wins.n),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
     "op8_chat_format": f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
