@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from cedarflow.operators import relational as ops
 from cedarflow.plans import estimates
-from cedarflow.sources import tables
+from cedarflow.plans.statistics import Statistics
+from cedarflow.sources import catalog, delimited, tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -260,6 +261,54 @@ def write_out_text(spark, d):
     return ops.format_rows(table(spark, d, "nation"))
 
 
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 100.5 AND (c_custkey < 50 OR c_custkey = 77)")
+def heap_filtered_scan(spark, d):
+    customer = ops.project(table(spark, d, "customer"), ["c_custkey", "c_acctbal"])
+    t = tables.create(spark, scratch(spark, "heap"), customer.schema)
+    t.append(customer)
+    return t.scan("(c_acctbal > 100.5) AND (c_custkey < 50 OR c_custkey = 77)")
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier ORDER BY s_acctbal, s_suppkey")
+def sort_write(spark, d):
+    path = scratch(spark, "sorted")
+    ops.save_sorted(ops.project(table(spark, d, "supplier"), ["s_suppkey", "s_name", "s_acctbal"]), "(s_acctbal) AND (s_suppkey)", path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def tbl_round_trip(spark, d):
+    nation, path = table(spark, d, "nation"), scratch(spark, "tbl")
+    delimited.write_tbl(nation, path)
+    return delimited.read_tbl(spark, path, nation.schema)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 3 AND n_name > 'NATION_1'")
+def tbl_filter(spark, d):
+    nation, path = table(spark, d, "nation"), scratch(spark, "tbl")
+    delimited.write_tbl(nation, path)
+    return tables.filter_file(spark, path, nation.schema, "(n_regionkey = 3) AND (n_name > 'NATION_1')")
+
+
+@query("SELECT CAST(7 AS INT) AS k, CAST(2.5 AS DOUBLE) AS d, 'seven' AS s")
+def compose_record(spark, d):
+    schema = catalog.schema_of([("k", "Int"), ("d", "Double"), ("s", "String")])
+    return catalog.rows_of(spark, schema, ["7|2.5|seven|"])
+
+
+@query("SELECT s_suppkey, l_orderkey, l_linenumber FROM supplier JOIN lineitem ON s_suppkey = l_suppkey AND s_suppkey = 3")
+def join_literal_clause(spark, d):
+    return ops.project(ops.join(table(spark, d, "supplier"), table(spark, d, "lineitem"), "(s_suppkey = l_suppkey) AND (s_suppkey = 3)"), ["s_suppkey", "l_orderkey", "l_linenumber"])
+
+
+@query("SELECT CAST(25 AS BIGINT) AS n_rows, CAST(count(DISTINCT n_regionkey) AS BIGINT) AS n_regions FROM nation")
+def stats_from_table(spark, d):
+    stats = Statistics()
+    stats.add_frame("nation", table(spark, d, "nation"))
+    group = stats.groups["nation"]
+    return spark.sql(f"SELECT CAST({group.rows} AS BIGINT) AS n_rows, CAST({group.distinct['nation.n_regionkey']} AS BIGINT) AS n_regions")
+
+
 def _estimate(name: str):
     def run(spark, d):
         return spark.sql(f"SELECT CAST({estimates.run(name)} AS BIGINT) AS estimate")
