@@ -45,9 +45,9 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def words_in(text: Column) -> Column:
-    """Words parted by single blanks or line ends."""
-    return F.length(text) - F.length(F.translate(text, " \n", "")) + F.lit(1)
+def words_in(text: Column, lines: Column | int = 1) -> Column:
+    """Words parted by single blanks or line ends, in so many lines."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + lines
 
 
 def chunk_ends(lines: Column) -> Column:
@@ -81,7 +81,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def suspected(docs: DataFrame) -> DataFrame:
     """By document key, the numbers of the chunks whose hashes occur again."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    hashed = let(lines, lambda ls: F.transform(chunks_of(ls), lambda c: let(body_of(ls, c), lambda body: F.when(words_in(body) >= MIN_WORDS, F.xxhash64(body)))))
+    hashed = let(lines, lambda ls: F.transform(chunks_of(ls), lambda c: let(body_of(ls, c), lambda body: F.when(words_in(body, c["b"] - c["a"] + 1) >= MIN_WORDS, F.xxhash64(body)))))
     rows = docs.filter(F.length("text") > 0).select(*KEYS, F.posexplode(hashed).alias("k", "h")).filter("h is not null")
     chunks = materialise(rows, "chunks")
     again = chunks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
@@ -96,11 +96,11 @@ def ranges(docs: DataFrame) -> DataFrame:
     lines = F.split("text", "\n", -1)
     digests = lambda ls: F.transform(ls, lambda x: F.struct(F.xxhash64(x).alias("x"), F.xxhash64(F.lit(1), x).alias("y"), words_in(x).alias("w")))
     found = let(
-        F.struct(lines.alias("ls"), chunks_of(lines).alias("cs")),
+        let(lines, lambda ls: F.struct(ls.alias("ls"), chunks_of(ls).alias("cs"), digests(ls).alias("ds"))),
         lambda s: F.transform("_suspects", lambda k: let(F.get(s["cs"], k), lambda c: F.struct(
             k.alias("k"), c["a"].alias("a"), c["b"].alias("b"), body_of(s["ls"], c).alias("body"),
-            F.reverse(digests(F.slice(s["ls"], F.greatest(F.lit(1), c["a"] + 1 - CONTEXT), F.least(c["a"], F.lit(CONTEXT))))).alias("back"),
-            digests(F.slice(s["ls"], c["b"] + 2, CONTEXT)).alias("on")))),
+            F.reverse(F.slice(s["ds"], F.greatest(F.lit(1), c["a"] + 1 - CONTEXT), F.least(c["a"], F.lit(CONTEXT)))).alias("back"),
+            F.slice(s["ds"], c["b"] + 2, CONTEXT).alias("on")))),
     )
     rows = docs.filter("_suspects is not null").select(*KEYS, F.explode(found).alias("c")).select(*KEYS, "c.*").withColumn("h", F.xxhash64("body"))
     place = F.struct(*KEYS, "k")
@@ -117,9 +117,10 @@ def ranges(docs: DataFrame) -> DataFrame:
 
     words = lambda a, n: F.aggregate(F.slice(a, F.lit(1), F.col(n)), F.lit(0), lambda acc, x: acc + x["w"])
     grown = same.withColumns({"nb": equal(F.col("back"), F.col("back0")), "no": equal(F.col("on"), F.col("on0"))})
-    total = words_in(F.col("body")) + words("back", "nb") + words("on", "no")
+    own = words_in(F.col("body"), F.col("b") - F.col("a") + 1)
+    total = own + words("back", "nb") + words("on", "no")
     several = F.col("b") - F.col("a") + F.col("nb") + F.col("no") > 0
-    gone = grown.filter((total >= MIN_RUN) & (several | (words_in(F.col("body")) >= LONG_LINE)))
+    gone = grown.filter((total >= MIN_RUN) & (several | (own >= LONG_LINE)))
     return gone.groupBy(*KEYS).agg(F.collect_set(F.struct((F.col("a") - F.col("nb")).alias("a"), (F.col("b") + F.col("no")).alias("b"))).alias("_ranges"))
 
 
