@@ -17,16 +17,32 @@ import numpy as np
 
 #: Pieces in one of the two dictionaries of a worker; when it is full, it
 #: becomes the older one, from which pieces in use come back.
-MOST_PIECES = 400_000
+MOST_PIECES = 600_000
 #: New pieces are encoded so many at a time, parted by a separator.
 TOGETHER = 256
 #: Longer pieces are encoded but not kept.
 LONGEST_KEPT = 64
-DOUBLE = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: White space other than blank and line end, and NUL, which marks cuts.
+OTHERS = [chr(i) for i in range(0x10000) if (chr(i).isspace() or i == 0) and chr(i) not in " \n"]
+ASCII_OTHERS = [c for c in OTHERS if c < "\x80"]
+PAIRS = ("  ", "\n\n", " \n", "\n ")
 
 
-ODD = re.compile(r"\s\s|.\s|^\s?$|[^\S ]|\x01|<\|")
+def simple(text: str) -> bool:
+    """White space is single blanks and line ends between other characters."""
+    if text[0] in " \n" or text[-1] in " \n":
+        return False
+    for c in ASCII_OTHERS if text.isascii() else OTHERS:
+        if c in text:
+            return False
+    return not any(p in text for p in PAIRS)
+
+
+def plain(piece: str) -> bool:
+    """Fit to be encoded together with others: no white space but a blank before
+    it, and no string that may be a special token or the separator."""
+    return piece.isprintable() and piece.rfind(" ") < 1 and "<|" not in piece and piece not in ("", " ")
 
 
 class Encoder:
@@ -63,14 +79,11 @@ class Encoder:
         return out
 
     def pieces(self, text: str) -> list[str]:
-        if DOUBLE.search(text):
+        if not simple(text):
             return CUT.split(text)
         if not self.spaced:
             return text.replace("\n", " ").split(" ")
-        if "\n" in text:
-            text = text.replace("\n", " \n")
-        head, *rest = text.split(" ")
-        return [head, *[p if p[:1] == "\n" else " " + p for p in rest]]
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; null: none."""
@@ -80,13 +93,13 @@ class Encoder:
         kept, older = self.kept, self.older
         new = set().union(*cut).difference(kept)
         extra: dict[str, bytes] = {}
-        plain, odd = [], []
+        together, odd = [], []
         for piece in new:
             if piece in older:
                 kept[piece] = older[piece]
             else:
-                (odd if self.mark is None or ODD.search(piece) else plain).append(piece)
-        for part, ids_of in ((plain, self._ids), (odd, self._each)):
+                (together if self.mark is not None and plain(piece) else odd).append(piece)
+        for part, ids_of in ((together, self._ids), (odd, self._each)):
             for piece, ids in zip(part, ids_of(part), strict=True):
                 (kept if len(piece) <= LONGEST_KEPT else extra)[piece] = ids
         if extra:
