@@ -117,9 +117,9 @@ def project_cols(spark, d):
     return ops.project(ops.select(table(spark, d, "part"), "(p_retailprice > 905) AND (p_retailprice < 910)"), ["p_partkey", "p_name", "p_retailprice"])
 
 
-@query(f"SELECT {DEC.format('s_acctbal + (s_acctbal * 1.05)')} AS sum FROM (SELECT CAST(s_acctbal AS DOUBLE) AS s_acctbal FROM supplier)".replace("1.05", "CAST(1.05 AS DOUBLE)"))
+@query(f"SELECT {DEC4.format('s_acctbal + (s_acctbal * 1.05)')} AS sum FROM (SELECT CAST(s_acctbal AS DOUBLE) AS s_acctbal FROM supplier)".replace("1.05", "CAST(1.05 AS DOUBLE)"))
 def sum_expr(spark, d):
-    return ops.sum_of(table(spark, d, "supplier"), "(s_acctbal + (s_acctbal * 1.05))", scale=2)
+    return ops.sum_of(table(spark, d, "supplier"), "(s_acctbal + (s_acctbal * 1.05))", scale=4)
 
 
 @query("SELECT CAST(SUM(l_linenumber) AS BIGINT) AS sum FROM lineitem")
