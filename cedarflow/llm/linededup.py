@@ -106,7 +106,9 @@ def ranges(docs: DataFrame) -> DataFrame:
     place = F.struct(*KEYS, "k")
     first = rows.groupBy("h", "body").agg(F.min_by(F.struct(place.alias("place"), "back", "on"), place).alias("first"))
     first = first.select(F.col("h").alias("h0"), F.col("body").alias("body0"), "first.*").withColumnsRenamed({"back": "back0", "on": "on0"})
-    same = rows.join(first, (F.col("h") == F.col("h0")) & (F.col("body") == F.col("body0"))).filter(place != F.col("place"))
+    # the bytes are compared beside the key: so both sides are dealt by h, and a hot one can be split
+    alike = (F.octet_length("body") == F.octet_length("body0") + 0) & F.col("body").contains(F.col("body0"))
+    same = rows.join(first, (F.col("h") == F.col("h0")) & alike).filter(place != F.col("place"))
 
     def equal(a: Column, b: Column) -> Column:
         """How many lines at the beginning of both are equal."""
