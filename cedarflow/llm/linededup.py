@@ -6,7 +6,7 @@ is a chunk of its own.  So the same lines are cut alike wherever they stand.
 Chunks of ``MIN_WORDS`` words or more are counted by hash over the whole corpus.
 Those that occur again are compared byte for byte with their first occurrence
 (smallest doc_id, then text, then place), and the match is carried on over up to
-``CONTEXT`` lines before and after it, by 128 bits of hash for each line.  If the
+``CONTEXT`` lines before and after it, by a 64-bit hash of each line.  If the
 lines that match so are several, or one long one, and have ``MIN_RUN`` words or
 more, they go; the first occurrence stays.
 
@@ -94,7 +94,7 @@ def ranges(docs: DataFrame) -> DataFrame:
     ``docs`` has the suspected chunks' numbers.
     """
     lines = F.split("text", "\n", -1)
-    digests = lambda ls: F.transform(ls, lambda x: F.struct(F.xxhash64(x).alias("x"), F.xxhash64(F.lit(1), x).alias("y"), words_in(x).alias("w")))
+    digests = lambda ls: F.transform(ls, lambda x: F.struct(F.xxhash64(x).alias("x"), words_in(x).alias("w")))
     found = let(
         let(lines, lambda ls: F.struct(ls.alias("ls"), chunks_of(ls).alias("cs"), digests(ls).alias("ds"))),
         lambda s: F.transform("_suspects", lambda k: let(F.get(s["cs"], k), lambda c: F.struct(
