@@ -1,19 +1,19 @@
-"""Line deduplication by content-defined chunks of lines, in DataFrame functions.
-
-A rolling hash over the hashes of two lines decides where a chunk ends (on the
-average after ``CUTS[1] / CUTS[0]`` lines); a line of ``LONG_LINE`` words or more
-is a chunk of its own.  So the same lines are cut alike wherever they stand.
-Chunks of ``MIN_WORDS`` words or more are counted by hash over the whole corpus.
-Those that occur again are compared byte for byte with their first occurrence
-(smallest doc_id, then text, then place), and the match is carried on over up to
-``CONTEXT`` lines before and after it, by a 64-bit hash of each line.  If the
-lines that match so are several, or one long one, and have ``MIN_RUN`` words or
-more, they go; the first occurrence stays.
-
-Three tables are written to the shared folder: the chunks' hashes, the documents
-with the numbers of their suspected chunks, and the ranges of lines to remove.
-Joins are on a chunk's hash and bytes or on a document's key, never on pairs;
-the side that may be hot is the one that run-time planning can split.
+"""Line deduplication by all shortest runs of lines that count, in DataFrame functions.
+
+A run of lines counts if it has ``MIN_RUN`` words or more and is several lines, or
+one line of ``LONG_LINE`` words or more.  From each line on, and from each line
+back, the shortest run that counts is a window: so of any run that counts, the
+windows inside cover every line, and a run stands elsewhere if and only if its
+windows do.  Windows are counted by a hash of their lines' hashes over the whole
+corpus; of those that occur again the bytes are compared.  Each window but the
+first of its kind (smallest doc_id, then text, then place) goes, and the first
+stays: where both overlap in one document, only what is behind the first goes.
+
+Two tables are written to the shared folder: the windows' hashes, and by hash the
+first place of those that occur again.  Joins are on a window's hash or on a
+document's key, never on pairs; the side that may be hot is the one that run-time
+planning can split.  Each line counts as a word at least, so a window has at most
+``MIN_RUN`` lines, and a document at most two windows for each line.
 
 Rows: a null or empty text has nothing to remove and stays as it is; documents
 equal in doc_id and text are treated alike (neither is a repetition of the
@@ -30,13 +30,17 @@ from pyspark.sql import functions as F
 
 from cedarflow.llm.common import materialise, with_own_columns
 
+#: Of the former rule, by chunks; only the copy of it in the tests reads them.
 CUTS = (3, 4)
 PRIME = (1 << 31) - 1
 FACTOR = 48271
-LONG_LINE = 50
 MIN_WORDS = 6
-MIN_RUN = 40
 CONTEXT = 12
+
+LONG_LINE = 50
+MIN_RUN = 40
+#: A window's number is its first line times this, and by how many lines it reaches on.
+WIDE = 64
 KEYS = ("_k1", "_k2")
 
 
@@ -45,32 +49,48 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def words_in(text: Column, lines: Column | int = 1) -> Column:
-    """Words parted by single blanks or line ends, in so many lines."""
-    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + lines
+def words_in(line: Column) -> Column:
+    """A line's words, parted by single blanks."""
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def reach(ws: Column, i: Column, w: Column, step: int) -> Column:
+    """By how many lines the shortest run that counts goes on (``step`` 1) or back
+    (-1) from line ``i`` of ``w`` words; null if the text ends before."""
+    near, total = F.when(w >= LONG_LINE, 0), w
+    for k in (1, 2, 3):
+        total = total + F.get(ws, i + k * step)
+        near = near.when(total >= MIN_RUN, k)
+    far = F.slice(ws, i + 1, MIN_RUN) if step > 0 else F.reverse(F.slice(ws, F.greatest(F.lit(1), i + 2 - MIN_RUN), F.least(i + 1, F.lit(MIN_RUN))))
+    # words times WIDE, and lines
+    full = lambda acc: acc >= MIN_RUN * WIDE
+    run = F.aggregate(far, F.lit(0), lambda acc, x: F.when(full(acc), acc).otherwise(acc + F.least(x, F.lit(MIN_RUN)) * WIDE + 1))
+    return near.otherwise(let(run, lambda r: F.when(full(r) & (r % WIDE > 1), r % WIDE - 1)))
+
 
+def windows_of(lines: Column) -> Column:
+    """Structs of number and hash of each window."""
 
-def chunk_ends(lines: Column) -> Column:
-    """The numbers of the lines that end a chunk, from 0."""
+    def found(s: Column) -> Column:
+        ws, hs = s["ws"], s["hs"]
+        on = F.transform(ws, lambda w, i: i.cast("long") * WIDE + reach(ws, i, w, 1))
+        back = F.transform(ws, lambda w, i: let(reach(ws, i, w, -1), lambda r: (i - r).cast("long") * WIDE + r))
+        numbers = F.array_distinct(F.filter(F.concat(on, back), lambda c: c.isNotNull()))
+        return F.transform(numbers, lambda c: F.struct(c.alias("c"), F.xxhash64(F.slice(hs, first_line(c) + 1, last_line(c) - first_line(c) + 1)).alias("h")))
 
-    def ends(s: Column) -> Column:
-        hashes, long, n = s["hashes"], s["long"], F.size(s["hashes"])
-        before = lambda i: F.when(i > 0, F.get(hashes, i - 1)).otherwise(F.lit(0).cast("long"))
-        rolled = lambda i: (before(i) * F.lit(FACTOR) + F.get(hashes, i)) % F.lit(PRIME)
-        cut = lambda i: (i == n - 1) | F.get(long, i) | F.get(long, i + 1) | (rolled(i) % F.lit(CUTS[1]) < CUTS[0])
-        return F.filter(F.sequence(F.lit(0), n - 1), cut)
+    return let(F.struct(F.transform(lines, lambda x: words_in(x)).alias("ws"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hs")), found)
 
-    hashed = F.transform(lines, lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME)))
-    return let(F.struct(hashed.alias("hashes"), F.transform(lines, lambda x: words_in(x) >= LONG_LINE).alias("long")), ends)
 
+def first_line(c: Column) -> Column:
+    return F.shiftright(c, WIDE.bit_length() - 1).cast("int")
 
-def chunks_of(lines: Column) -> Column:
-    """Structs of first and last line of each chunk."""
-    return let(chunk_ends(lines), lambda ends: F.transform(ends, lambda e, k: F.struct(F.when(k > 0, F.get(ends, k - 1) + 1).otherwise(F.lit(0)).alias("a"), e.alias("b"))))
 
+def last_line(c: Column) -> Column:
+    return first_line(c) + (c % WIDE).cast("int")
 
-def body_of(lines: Column, chunk: Column) -> Column:
-    return F.array_join(F.slice(lines, chunk["a"] + 1, chunk["b"] - chunk["a"] + 1), "\n")
+
+def body_of(lines: Column, c: Column) -> Column:
+    return F.array_join(F.slice(lines, first_line(c) + 1, last_line(c) - first_line(c) + 1), "\n")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -79,51 +99,30 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def suspected(docs: DataFrame) -> DataFrame:
-    """By document key, the numbers of the chunks whose hashes occur again."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    hashed = let(lines, lambda ls: F.transform(chunks_of(ls), lambda c: let(body_of(ls, c), lambda body: F.when(words_in(body, c["b"] - c["a"] + 1) >= MIN_WORDS, F.xxhash64(body)))))
-    rows = docs.filter(F.length("text") > 0).select(*KEYS, F.posexplode(hashed).alias("k", "h")).filter("h is not null")
-    chunks = materialise(rows, "chunks")
-    again = chunks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    return chunks.join(again.hint("merge"), "h", "left_semi").groupBy(*KEYS).agg(F.collect_set("k").alias("_suspects"))
-
-
-def ranges(docs: DataFrame) -> DataFrame:
-    """By document key, the ranges of lines (first, last) to remove.
-
-    ``docs`` has the suspected chunks' numbers.
-    """
-    lines = F.split("text", "\n", -1)
-    digests = lambda ls: F.transform(ls, lambda x: F.struct(F.xxhash64(x).alias("x"), words_in(x).alias("w")))
-    found = let(
-        let(lines, lambda ls: F.struct(ls.alias("ls"), chunks_of(ls).alias("cs"), digests(ls).alias("ds"))),
-        lambda s: F.transform("_suspects", lambda k: let(F.get(s["cs"], k), lambda c: F.struct(
-            k.alias("k"), c["a"].alias("a"), c["b"].alias("b"), body_of(s["ls"], c).alias("body"),
-            F.reverse(F.slice(s["ds"], F.greatest(F.lit(1), c["a"] + 1 - CONTEXT), F.least(c["a"], F.lit(CONTEXT)))).alias("back"),
-            F.slice(s["ds"], c["b"] + 2, CONTEXT).alias("on")))),
-    )
-    rows = docs.filter("_suspects is not null").select(*KEYS, F.explode(found).alias("c")).select(*KEYS, "c.*").withColumn("h", F.xxhash64("body"))
-    place = F.struct(*KEYS, "k")
-    first = rows.groupBy("h", "body").agg(F.min_by(F.struct(place.alias("place"), "back", "on"), place).alias("first"))
-    first = first.select(F.col("h").alias("h0"), F.col("body").alias("body0"), "first.*").withColumnsRenamed({"back": "back0", "on": "on0"})
-    # the bytes are compared beside the key: so both sides are dealt by h, and a hot one can be split
-    alike = (F.octet_length("body") == F.octet_length("body0") + 0) & F.col("body").contains(F.col("body0"))
-    same = rows.join(first, (F.col("h") == F.col("h0")) & alike).filter(place != F.col("place"))
-
-    def equal(a: Column, b: Column) -> Column:
-        """How many lines at the beginning of both are equal."""
-        size = F.least(F.size(a), F.size(b))
-        pairs = F.zip_with(F.slice(a, F.lit(1), size), F.slice(b, F.lit(1), size), lambda x, y: x == y)
-        differs = F.array_position(pairs, False)
-        return F.when(differs > 0, differs - 1).otherwise(size).cast("int")
-
-    words = lambda a, n: F.aggregate(F.slice(a, F.lit(1), F.col(n)), F.lit(0), lambda acc, x: acc + x["w"])
-    grown = same.withColumns({"nb": equal(F.col("back"), F.col("back0")), "no": equal(F.col("on"), F.col("on0"))})
-    own = words_in(F.col("body"), F.col("b") - F.col("a") + 1)
-    total = own + words("back", "nb") + words("on", "no")
-    several = F.col("b") - F.col("a") + F.col("nb") + F.col("no") > 0
-    gone = grown.filter((total >= MIN_RUN) & (several | (own >= LONG_LINE)))
-    return gone.groupBy(*KEYS).agg(F.collect_set(F.struct((F.col("a") - F.col("nb")).alias("a"), (F.col("b") + F.col("no")).alias("b"))).alias("_ranges"))
+    """By document key, number and hash of the windows whose hashes occur again."""
+    rows = docs.filter(F.length("text") > 0).select(*KEYS, F.explode(let(F.split("text", "\n", -1), windows_of)).alias("w")).select(*KEYS, "w.*")
+    windows = materialise(rows, "windows")
+    again = windows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    return windows.join(again.hint("merge"), "h", "left_semi")
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """By document key, the ranges of lines (first, last) to remove."""
+    place = F.struct(*KEYS, "c")
+    suspects = materialise(suspected(docs), "suspects")
+    per_doc = suspects.groupBy(*KEYS).agg(F.collect_set(F.struct("c", "h")).alias("_suspects"))
+    bodies = let(F.split("text", "\n", -1), lambda ls: F.transform("_suspects", lambda x: F.struct(x["c"].alias("c"), x["h"].alias("h"), body_of(ls, x["c"]).alias("body"))))
+    rows = docs.join(per_doc.hint("merge"), list(KEYS)).select(*KEYS, F.explode(bodies).alias("x")).select(*KEYS, "x.*")
+    firsts = materialise(rows.groupBy("h").agg(F.min(place).alias("first"), (F.min("body") != F.max("body")).alias("mixed")), "firsts")
+    same = suspects.join(firsts.filter("not mixed").hint("merge"), "h").select(*KEYS, "c", "first")
+    if not firsts.filter("mixed").isEmpty():  # different windows with one hash
+        mixed = rows.join(F.broadcast(firsts.filter("mixed").select("h")), "h")
+        own = mixed.groupBy("h", "body").agg(F.min(place).alias("first"))
+        same = same.unionByName(mixed.join(own.hint("merge"), ["h", "body"]).select(*KEYS, "c", "first"))
+    within = F.struct(*KEYS) == F.struct(*[F.col("first")[k].alias(k) for k in KEYS])
+    begin = F.when(within, F.greatest(first_line(F.col("c")), last_line(F.col("first")["c"]) + 1)).otherwise(first_line(F.col("c")))
+    gone = same.filter(place != F.col("first")).select(*KEYS, F.struct(begin.alias("a"), last_line(F.col("c")).alias("b")).alias("r"))
+    return gone.groupBy(*KEYS).agg(F.collect_set("r").alias("_ranges"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -132,16 +131,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     out = docs.drop("removed_lines", "n_lines", "original_text")
     names = [c for c in out.columns if c != "text"]
     rows = keyed(out)
-    marked = materialise(rows.join(suspected(rows.select(*KEYS, "text")).hint("merge"), list(KEYS), "left"), "marked")
-    some = marked.filter("_suspects is not null")
-    decided = materialise(ranges(some), "ranges")
-    joined = some.join(decided.hint("merge"), list(KEYS), "left").unionByName(marked.filter("_suspects is null"), allowMissingColumns=True)
+    joined = rows.join(repeated(rows.select(*KEYS, "text")).hint("merge"), list(KEYS), "left")
     lines = F.split("text", "\n", -1)
-    gone = F.when(F.col("_ranges").isNull(), F.array().cast("array<int>")).otherwise(
-        F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.exists("_ranges", lambda r: (r["a"] <= i) & (i <= r["b"])))
-    )
+    gone = F.coalesce(F.sort_array(F.array_distinct(F.flatten(F.transform("_ranges", lambda r: F.sequence(r["a"], r["b"]))))), F.array().cast("array<int>"))
     kept = F.when(F.size("removed_lines") == 0, F.col("text")).otherwise(
-        let(F.struct(lines.alias("ls"), F.col("removed_lines").alias("gone")), lambda s: F.array_join(F.filter(s["ls"], lambda x, i: ~F.array_contains(s["gone"], i)), "\n"))
+        let(lines, lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "removed_lines"), lambda i: F.get(ls, i)), "\n"))
     )
     return joined.withColumn("removed_lines", gone).select(
         *names, kept.alias("text"), "removed_lines", F.when(F.length("text") > 0, F.size(lines)).otherwise(0).alias("n_lines"), F.col("text").alias("original_text")
