@@ -81,3 +81,8 @@ def test_windows_with_equal_hashes(spark, monkeypatch):
     real = ld.F.xxhash64
     monkeypatch.setattr(ld.F, "xxhash64", lambda *c: real(*c) if isinstance(c[0], str) else real(*c) % 5)
     assert removed(spark, docs) == brute(docs)
+
+
+def test_passages_of_short_lines(spark):
+    docs, expected = pairs(5, [(60, 1), (500, 1), (30, 2), (100, 2), (34, 2)], 3)
+    assert removed(spark, docs) == expected
