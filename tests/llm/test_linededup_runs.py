@@ -86,3 +86,17 @@ def test_windows_with_equal_hashes(spark, monkeypatch):
 def test_passages_of_short_lines(spark):
     docs, expected = pairs(5, [(60, 1), (500, 1), (30, 2), (100, 2), (34, 2)], 3)
     assert removed(spark, docs) == expected
+
+
+def test_parts_that_stand_before_hide_nothing(spark):
+    rng, docs, expected = random.Random(6), [], {}
+    for lines, parts in [(4, 2), (6, 2), (4, 4)] * 8:
+        passage = shared(rng, lines, 60 // lines)
+        size = lines // parts
+        texts = [other(rng, 2) + passage[k : k + size] + other(rng, 2) for k in range(0, lines, size)]
+        texts += [other(rng, 3) + passage + other(rng, 2), other(rng, 3) + passage + other(rng, 2)]
+        for t in texts:
+            expected[len(docs)] = set()
+            docs.append((len(docs), "\n".join(t)))
+        expected[len(docs) - 1] = set(range(3, 3 + lines))
+    assert removed(spark, docs) == expected == brute(docs)
