@@ -1,7 +1,8 @@
 """Line deduplication by all shortest runs of lines that count, in DataFrame functions.
 
 A run of lines counts if it has ``MIN_RUN`` words or more and is several lines, or
-one line of ``LONG_LINE`` words or more.  From each line on, and from each line
+one line of ``LONG_LINE`` words or more.  Words are parted by any white space, and
+text without it is judged by its size (``WORD``).  From each line on, and from each line
 back, the shortest run that counts is a window: so of any run that counts, the
 windows inside cover every line, and a run stands elsewhere if and only if its
 windows do.  Windows are counted by a hash of their lines' hashes over the whole
@@ -39,6 +40,11 @@ CONTEXT = 12
 
 LONG_LINE = 50
 MIN_RUN = 40
+#: Scripts without blanks, two code points to a word (Han, kana) or four (Thai, Lao,
+#: Myanmar, Khmer); of any other text, up to 24 code points without white space.
+PAIRS = r"\u2E80-\u2FDF\u3005-\u3007\u3021-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
+FOURS = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF"
+WORD = rf"[^\s\x{{85}}\p{{Z}}{PAIRS}{FOURS}]{{1,24}}|[{PAIRS}]{{1,2}}|[{FOURS}]{{1,4}}"
 #: A window's number is its first line times this, and by how many lines it reaches on.
 WIDE = 64
 KEYS = ("_k1", "_k2")
@@ -50,8 +56,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def words_in(line: Column) -> Column:
-    """A line's words, parted by single blanks."""
-    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    """A line's words: what white space parts, or so much text without any."""
+    return F.greatest(F.lit(1), F.regexp_count(line, F.lit(WORD)))
 
 
 def reach(ws: Column, i: Column, w: Column, step: int) -> Column:

@@ -100,3 +100,21 @@ def test_parts_that_stand_before_hide_nothing(spark):
             docs.append((len(docs), "\n".join(t)))
         expected[len(docs) - 1] = set(range(3, 3 + lines))
     assert removed(spark, docs) == expected == brute(docs)
+
+
+def test_words_by_white_space_and_size(spark):
+    rng = random.Random(7)
+    han = ["".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(60)) for _ in range(3)]
+    thai = ["".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(70)) for _ in range(3)]
+    packed = ["".join(rng.choice("abcdef") for _ in range(600)) for _ in range(2)]
+    tabs, wide = ["\t".join(x.split(" ")) for x in shared(rng, 3, 60)], ["\u3000".join(x.split(" ")) for x in shared(rng, 3, 20)]
+    gaps = ["   ".join(x.split(" ")) for x in shared(rng, 2, 19)]  # 38 words, however far apart
+    docs, expected = [], {}
+    for passage, goes in [(han, True), (thai, True), (packed, True), (tabs, True), (tabs[:1], True), (wide, True), (gaps, False), (han[:1], False)]:
+        for again in (False, True):
+            own = other(rng, 2)
+            if passage[0] in (tabs[0], han[0]) and len(passage) == 1:
+                again = goes  # stands in an earlier pair
+            expected[len(docs)] = set(range(2, 2 + len(passage))) if again and goes else set()
+            docs.append((len(docs), "\n".join(own + passage + other(rng, 1))))
+    assert removed(spark, docs) == expected
