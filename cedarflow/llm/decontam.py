@@ -14,7 +14,8 @@ first, and beyond ``block_bytes`` it is dealt into blocks that are scanned one
 after another over the same rows.
 
 Rows: a null or empty text has no words and is not contaminated; a null or
-empty item has no windows; repeated documents are each answered; items with
+empty item has no windows; an item with a null id is one like others, only that
+the digest of the items found leaves it out, as the SQL does; repeated documents are each answered; items with
 equal texts are all counted.
 """
 
@@ -51,9 +52,9 @@ def three(n: int) -> str:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         self.codes: dict[bytes, str] = {}
-        patterns: dict[str, set[int]] = {}
+        patterns: dict[str, set[str | None]] = {}
         self.shortest = window
         for item, text in items:
             words = words_of(text)
@@ -71,7 +72,7 @@ class Matcher:
         self.any = bool(patterns)
         self.runs = re.compile(f"[^\\0]{{{3 * self.shortest},}}")
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Merged hit ranges of words, and the items that occur."""
         if not self.any or len(words) < self.shortest:
             return [], set()
@@ -87,13 +88,13 @@ class Matcher:
 
 
 @lru_cache(maxsize=4)
-def matcher(items: tuple[tuple[int, str], ...], window: int) -> Matcher:
+def matcher(items: tuple[tuple[str | None, str], ...], window: int) -> Matcher:
     return Matcher(list(items), window)
 
 
 def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     """The benchmark in blocks of about ``block_bytes`` each."""
-    items = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null and item_id is not null")
+    items = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(1, -(-size // block_bytes))
     return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
@@ -111,7 +112,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     out = out.withColumns({"hit_words": F.expr(empty), "hit_items": F.expr("cast(array() as array<string>)"), "hit_spans": F.expr(empty), "n_words": F.lit(0).cast("long")})
     schema = out.schema
     for block in blocks_of(benchmark, block_bytes):
-        held = spark.sparkContext.broadcast(tuple((str(r["item_id"]), r["text"]) for r in block.collect()))
+        held = spark.sparkContext.broadcast(tuple((None if r["item_id"] is None else str(r["item_id"]), r["text"]) for r in block.collect()))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             found = matcher(held.value, window)
@@ -124,7 +125,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                     if old:
                         ranges = _merge(ranges + [(r["start"], r["end"]) for r in old])
                     hits.append([{"start": a, "end": b} for a, b in ranges])
-                    items.append(sorted(set(old_items) | new))
+                    items.append(sorted(set(old_items) | new, key=lambda x: (x is not None, x)))
                     spans.append(_code_points(text, ranges))
                     counts.append(len(words))
                 types = {f.name: f.type for f in batch.schema}
