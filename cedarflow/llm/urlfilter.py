@@ -8,7 +8,8 @@ often and how variously the context was seen (Witten and Bell).  A URL that no
 rule judges is blocked if the difference of its log-likelihoods, divided by its
 length, is over a threshold calibrated on a fold that the models have not seen.
 
-Counts are taken over all judged URLs.  Characters fall into 40 classes, so the
+For the threshold, counts leave out that fold (a fifth of the judged URLs); then
+they are taken anew over all judged URLs, for the scores.  Characters fall into 40 classes, so the
 models are 64,000 numbers whatever the size of the input; they go into the plan
 as a literal.  Log ratios are rounded to 1/10,000 and summed
 as integers.  All of it is DataFrame and SQL functions.
@@ -132,8 +133,8 @@ def judge_urls(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("cs", classes(F.concat("host", "path")))
     known = rows.filter("ruled is not null").withColumn("held", F.pmod(F.crc32("url"), F.lit(5)) == 0)
     # A**3 numbers and one number, whatever the input's size; they become literals of the plan
-    ratio = F.split(F.lit(",".join(map(str, model(known.filter("not held")).first()["ratio"]))), ",").cast("array<int>")
-    least = F.lit(threshold(scored(known.filter("held"), ratio)).first()["least"])
-    out = scored(rows, ratio)
+    ratio_of = lambda some: F.split(F.lit(",".join(map(str, model(some).first()["ratio"]))), ",").cast("array<int>")
+    least = F.lit(threshold(scored(known.filter("held"), ratio_of(known.filter("not held")))).first()["least"])
+    out = scored(rows, ratio_of(known))
     verdict = F.coalesce("ruled", F.when(F.col("score") > least, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), (F.col("score") / float(UNIT)).alias("score"))
