@@ -18,7 +18,8 @@ BLOCK_CHARS = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is one made here.
+    Where the session names none, a folder of this machine is made, but only for a
+    local master, whose executors are the driver; a cluster without one is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -26,6 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     made = spark.sparkContext.getCheckpointDir()
     if made:
         return made.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"{master}: set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cedarflow-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -42,14 +46,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`materialise` that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.startswith(("file:", "hdfs:", "s3", "/")) or "://" in path:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    files = df._jdf.inputFiles()
+    if len(files):  # all of them lie in one folder
+        remove_path(df.sparkSession, str(files[0]).rsplit("/", 1)[0])
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df``, dealt by a hash of the columns ``by`` if it is read from fewer files
+    than there are cores; Python work would keep few of them busy otherwise.
+
+    A file that holds one row group is one task's, however many splits it has.
+    Tables of many files, and frames that come from no files, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df._jdf.inputFiles())
+    return df.repartition(2 * cores, F.xxhash64(*by)) if 0 < files < cores else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ included, of the lower-cased text; all that is no letter counts as a word end.
 They are hashed to 65,536 buckets.  A text's vector is the mean of its
 buckets' embeddings; a linear softmax on top gives the languages.  Embeddings
 and softmax are trained together by stochastic gradient descent in numpy on a
-bounded sample: at most about ``SAMPLE`` labelled rows of each language, every
+bounded sample: at most ``SAMPLE`` labelled rows of each language, every
 text whole and in pieces of a few words.  A part of the sample is not trained on
 and calibrates the model: a temperature for the probabilities, and the score
 and the share of known subwords below which a text is rejected.
@@ -13,8 +13,19 @@ and the share of known subwords below which a text is rejected.
 Prediction needs, for each bucket, one number a language (embedding times
 softmax); it sums these over whole texts, a block at a time.
 
-Rows: a null text or one without letters is ``und`` with score 0, and rejected;
-repeated rows are each answered; without labelled rows every text is ``und``.
+The sample is bounded for each language: of its distinct rows (by id and text), in
+the order of a hash, the first ``SAMPLE``, and no more of them than until
+``SAMPLE_BYTES`` of text are reached (the first row always counts; a row gives at
+most four examples of at most 65,536 buckets).  So what reaches the driver grows
+with the number of languages alone, as the model itself does.  A language with
+any labelled row is learnt, whatever its rows' ids are.
+
+Rows: a null text or one without letters is ``und`` with score 0, and rejected; of
+two equally likely languages the first in the alphabet is taken; repeated rows, and
+rows with equal or null ids, are each answered; a very long text is summed whole,
+block by block; without labelled rows every text is ``und``; an empty table gives
+an empty one.  Extra columns are not read; those named as the results (lang_pred,
+score, rejected) are replaced by :func:`identify` and kept by :func:`keep_identified`.
 """
 
 from __future__ import annotations
@@ -24,16 +35,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cedarflow.llm.common import BLOCK_CHARS, small_batches, with_own_columns
+from cedarflow.llm.common import BLOCK_CHARS, small_batches, spread, with_own_columns
 
 BITS = 16
 SIZES = (2, 3, 4)
 DIM = 16
 SAMPLE = 500
+SAMPLE_BYTES = 16 << 20
 EPOCHS = 6
 #: Share of the calibration texts whose scores lie below the rejecting threshold.
 REJECT = 0.002
@@ -165,32 +177,41 @@ def pieces(text: str) -> list[str]:
 def gather(docs: DataFrame, sample: int, seed: int) -> list[tuple[str, bool, np.ndarray, np.ndarray]]:
     """The sample's examples: language, for calibration, buckets, shares."""
     learnt = docs.filter(~held_out(F.col("doc_id")) | F.col("doc_id").isNull()).filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in learnt.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    spread_to = 1 << 30
+    learnt = learnt.withColumn("key", F.xxhash64("doc_id", "text", F.lit(seed)))
+    bin_ = F.shiftrightunsigned("key", 34)  # the upper 30 bits
+    counts = {r["lang"]: r["n"] for r in learnt.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
     if not counts:
         return []
-    spread = 1 << 30
-    key = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(spread))
-    least = F.lit(0)
-    for lang, n in counts.items():
-        least = F.when(F.col("lang") == lang, F.lit(int(spread * min(1.0, sample / n)))).otherwise(least)
+    # a little more than the sample by a threshold, then exactly the first ones
+    least = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(spread_to * min(1.0, (1.3 * sample + 30) / max(1, n))))])
+    some = learnt.filter(bin_ < F.element_at(least, F.col("lang"))).select("lang", "key", F.octet_length("text").cast("long").alias("size"))
+    order = Window.partitionBy("lang").orderBy("key")
+    ranked = some.groupBy("lang", "key").agg(F.max("size").alias("size")).select(
+        "lang", "key", F.row_number().over(order).alias("i"), F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
+    )
+    last = ranked.filter((F.col("i") <= sample) & (F.col("before") < SAMPLE_BYTES)).groupBy("lang").agg(F.max("key").alias("k")).collect()
+    ends = F.create_map(*[F.lit(x) for r in sorted(last) for x in (r["lang"], r["k"])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            langs, keys, found, shares = [], [], [], []
+            langs, keys, numbers, found, shares = [], [], [], [], []
             for lang, k, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "key", "text")), strict=True):
-                for piece in pieces(text):
+                for number, piece in enumerate(pieces(text)):
                     joined = [subwords([b])[0] for b in blocks(piece)]
                     buckets, counts = np.unique(np.concatenate(joined), return_counts=True) if joined else ([], [])
                     if len(buckets):
                         langs.append(lang)
                         keys.append(k)
+                        numbers.append(number)
                         found.append(buckets.astype(np.int32))
                         shares.append((counts / counts.sum()).astype(np.float32))
             if langs:
-                yield pa.RecordBatch.from_pydict({"lang": langs, "key": keys, "buckets": found, "shares": shares}, pa.schema([("lang", pa.string()), ("key", pa.int64()), ("buckets", pa.list_(pa.int32())), ("shares", pa.list_(pa.float32()))]))
+                yield pa.RecordBatch.from_pydict({"lang": langs, "key": keys, "piece": numbers, "buckets": found, "shares": shares}, pa.schema([("lang", pa.string()), ("key", pa.int64()), ("piece", pa.int32()), ("buckets", pa.list_(pa.int32())), ("shares", pa.list_(pa.float32()))]))
 
-    rows = learnt.withColumn("key", key).filter(F.col("key") < least).select("lang", "key", "text").mapInArrow(run, "lang string, key long, buckets array<int>, shares array<float>").toArrow()
-    rows = rows.take(pa.compute.sort_indices(rows, [("key", "ascending"), ("lang", "ascending")]))
+    chosen = learnt.filter((bin_ < F.element_at(least, F.col("lang"))) & (F.col("key") <= F.element_at(ends, F.col("lang")))).dropDuplicates(["lang", "key"])
+    rows = chosen.select("lang", "key", "text").mapInArrow(run, "lang string, key long, piece int, buckets array<int>, shares array<float>").toArrow()
+    rows = rows.take(pa.compute.sort_indices(rows, [("key", "ascending"), ("lang", "ascending"), ("piece", "ascending")]))
     return [(lang, k % 5 == 0, np.array(b.values), np.array(s.values)) for lang, k, b, s in zip(rows["lang"].to_pylist(), rows["key"].to_pylist(), rows["buckets"], rows["shares"], strict=True)]
 
 
@@ -276,10 +297,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def langid_report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score, rejected."""
     model = fit(docs.select("doc_id", "text", "lang"))
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+    return identify(spread(docs.select("doc_id", "text"), "doc_id", "text"), model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected, with their columns as they came."""
     model = fit(docs.select("doc_id", "text", "lang"))
-    return with_own_columns(docs, lambda own: identify(own, model).filter("not rejected"))
+    return with_own_columns(docs, lambda own: identify(spread(own, "doc_id", "text"), model).filter("not rejected"))
