@@ -10,8 +10,16 @@ non-overlapping within a kind, failing candidates dropped).  The method adds
 ``secret`` (a value of 16 or more characters behind a cue such as ``token =``),
 ``url`` (a URL with user data before an at-sign) and ``iban``.
 
-Rows: a null or empty text has no spans.  Repeated rows are each answered; other
-columns are not read.
+A cue inside a value that was scanned already is passed over: its own value would
+be an end of that one, and refused or covered with it.  So every parser reads a
+character a bounded number of times, and a text costs time in proportion to its
+length, however long it is and whatever it repeats.
+
+Rows: a null or empty text has no spans; repeated rows, and rows with equal or null
+ids, are each answered; an empty table gives an empty one.  Of spans of one kind
+that overlap the leftmost stays; spans of different kinds may overlap.  Extra columns
+are not read by :func:`pii_report` and kept by :func:`find_pii`, which replaces one
+that is named as its result.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cedarflow.llm.common import small_batches
+from cedarflow.llm.common import small_batches, spread
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("secret", "url", "iban")
@@ -148,9 +156,10 @@ def phone_at(t: str, plus: int) -> tuple[int, int] | None:
     return (plus, end) if 9 <= count <= 15 else None
 
 
-def secret_after(t: str, end: int) -> tuple[int, int] | None:
+def secret_after(t: str, end: int) -> tuple[tuple[int, int] | None, int]:
     """The value behind a cue that ends before ``end``: an optional separator,
-    an optional quote, then 16 or more characters with a letter and a digit."""
+    an optional quote, then 16 or more characters with a letter and a digit; and
+    where the value's characters end, whether it holds or not."""
     n, i = len(t), end
     while i < n and i < end + 3 and t[i] == " ":
         i += 1
@@ -159,16 +168,15 @@ def secret_after(t: str, end: int) -> tuple[int, int] | None:
         while i < n and t[i] == " ":
             i += 1
     elif i == end:
-        return None
+        return None, end
     if i < n and t[i] in "\"'":
         i += 1
     start = i
     while i < n and t[i] in SECRET:
         i += 1
     value = t[start:i]
-    if len(value) < 16 or not any(c in DIGITS for c in value) or not any(c.isalpha() for c in value):
-        return None
-    return start, i
+    holds = len(value) >= 16 and any(c in DIGITS for c in value) and any(c.isalpha() for c in value)
+    return (start, i) if holds else None, i
 
 
 def url_from(t: str, start: int, host: int) -> tuple[int, int] | None:
@@ -203,7 +211,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     if not text:
         return []
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in BASE_KINDS + ADDED_KINDS}
-    email_end = ip_end = card_end = iban_end = secret_end = 0
+    email_end = ip_end = card_end = iban_end = secret_end = value_end = 0
     for at, anchor in automaton().iter(text):
         if anchor == "digit":
             if at >= ip_end:
@@ -223,7 +231,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             if span:
                 found["phone"].append(span)
         elif anchor == "cue":
-            span = secret_after(text, at + 1)
+            if at + 2 < value_end:  # at least one more character of that value follows the cue and its separator
+                continue
+            span, value_end = secret_after(text, at + 1)
             if span and span[0] >= secret_end:
                 found["secret"].append(span)
                 secret_end = span[1]
@@ -262,7 +272,8 @@ def digest(spans: list[tuple[str, int, int]]) -> str:
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """Per document the counts of the base kinds, their digest, and all spans.
+    """Per document the counts of the base kinds, their digest, all spans, and how
+    many spans the method adds (``n_added``) and there are in all (``n_spans``).
 
     Only ``doc_id`` and ``text`` are read; a null ``doc_id`` is kept as it is.
     """
@@ -274,10 +285,10 @@ def pii_report(docs: DataFrame) -> DataFrame:
                 spans = find(text)
                 base = [s for s in spans if s[0] in BASE_KINDS]
                 counts = [sum(s[0] == k for s in base) for k in BASE_KINDS]
-                rows.append((doc_id, *counts, hashlib.sha256(digest(base).encode()).hexdigest(), digest(spans)))
-            names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
-            types = [pa.int64()] * 5 + [pa.string()] * 2
+                rows.append((doc_id, *counts, hashlib.sha256(digest(base).encode()).hexdigest(), digest(spans), len(spans) - len(base), len(spans)))
+            names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"]
+            types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", "text").mapInArrow(run, schema)
