@@ -1,0 +1,61 @@
+"""Blocks of words as patterns: frequent ones, repeated ones, memory, long texts."""
+
+import random
+import time
+
+from cedarflow.llm import decontam
+from tests.llm.test_decontam import brute
+
+
+def scan(matcher, text):
+    words = decontam.words_of(text)
+    ranges, items = matcher.scan(words)
+    return sum(b - a for a, b in ranges), sorted(items)
+
+
+def check(items, docs):
+    matcher = decontam.Matcher(items, 13)
+    for text in docs:
+        _, hit, n, _, _ = brute(text, items)
+        got = scan(matcher, text)
+        assert (got[0], len(got[1])) == (hit, n), text
+    return matcher
+
+
+def test_frequent_blocks_and_repeated_words():
+    rng = random.Random(1)
+    common = "which of the following is the right".split()
+    items = []
+    for i in range(60):
+        own = [f"w{rng.randrange(30)}" for _ in range(rng.choice([5, 6, 7, 12, 20, 40]))]
+        items.append((str(i), " ".join((common + own) if i % 2 else own + common + own[::-1])))
+    items += [("r", " ".join(["na"] * 30)), ("s", " ".join(["na", "no"] * 15)), ("t", "na na"), ("60", items[1][1]), ("61", items[1][1])]
+    docs = [" ".join(rng.choice(items)[1] if rng.random() < 0.5 else " ".join(rng.choice([*common, "na", "no", "w1", "w2"]) for _ in range(rng.randint(1, 20))) for _ in range(rng.randint(0, 5))) for _ in range(150)]
+    docs += [" ".join(t.split()[k : k + 13]) for _, t in items for k in range(len(t.split()) - 12)]
+    docs += [" ".join(t.split()[k : k + 12]) + " zz" for _, t in items for k in range(len(t.split()) - 11)]
+    matcher = check(items, docs)
+    assert any(len(f[2]) for f in matcher.automaton.values()) and any(len(f[1]) > 1 for f in matcher.automaton.values())
+
+
+def test_few_words_and_all_places(monkeypatch):
+    rng = random.Random(2)
+    for places in (0, 1, 16):
+        monkeypatch.setattr(decontam, "PLACES", places)
+        for _ in range(12):
+            items = [(str(i), " ".join(rng.choice("ab") for _ in range(rng.randint(1, 30)))) for i in range(6)]
+            check(items, [" ".join(rng.choice("abc") if rng.random() < 0.1 else rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(12)])
+
+
+def test_nodes_in_proportion_to_the_text():
+    rng = random.Random(3)
+    items = [(str(i), " ".join(f"v{rng.randrange(50000)}" for _ in range(100))) for i in range(3000)]
+    stats = decontam.Matcher(items, 13).automaton.get_stats()
+    assert stats["nodes_count"] < 3.2 * 300000 and stats["total_size"] < 25 * sum(len(t) for _, t in items)
+
+
+def test_long_text_in_linear_time():
+    item = " ".join(["na"] * 200)
+    matcher = decontam.Matcher([("a", item), ("b", item + " end")], 13)
+    began = time.process_time()
+    hit, found = scan(matcher, "na " * 300_000)
+    assert (hit, found) == (300_000, ["a", "b"]) and time.process_time() - began < 30
