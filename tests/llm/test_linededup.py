@@ -1,76 +1,32 @@
-"""Chunked line deduplication against a plain reimplementation."""
+"""Line deduplication against a brute force that knows runs, not chunks."""
 
+import os
 import random
-from collections import defaultdict
+import time
 
 import xxhash
 
 from cedarflow.llm import linededup as ld
-
-
-def h(line):
-    n = xxhash.xxh64_intdigest(line.encode(), seed=42)
-    return (n - (1 << 64) if n >= 1 << 63 else n) % ld.PRIME
-
-
-def wc(t):
-    return t.count(" ") + t.count("\n") + 1
-
-
-def chunks(lines):
-    hs, out, start = [h(x) for x in lines], [], 0
-    long = [wc(x) >= ld.LONG_LINE for x in lines] + [False]
-    for i in range(len(lines)):
-        before = hs[i - 1] if i else 0
-        if i == len(lines) - 1 or long[i] or long[i + 1] or (before * ld.FACTOR + hs[i]) % ld.PRIME % ld.CUTS[1] < ld.CUTS[0]:
-            out.append((start, i))
-            start = i + 1
-    return out
+from tests.llm.test_linededup_runs import counts
 
 
 def brute(docs):
-    key = lambda d, t: (-(2**63) if d is None else d, (lambda n: n - (1 << 64) if n >= 1 << 63 else n)(xxhash.xxh64_intdigest((t or "").encode(), seed=42)))
-    where = defaultdict(list)
-    data = {}
-    for d, t in docs:
-        if not t:
-            continue
-        lines = t.split("\n")
-        cs = chunks(lines)
-        data[key(d, t)] = (lines, cs)
-    for k, (lines, cs) in data.items():
-        for n, (a, b) in enumerate(cs):
-            body = "\n".join(lines[a : b + 1])
-            if wc(body) >= ld.MIN_WORDS:
-                where[body].append((*k, n))
-    gone = defaultdict(set)
-    for places in where.values():
-        first = min(places)
-        l0, c0 = data[first[:2]]
-        for p in places:
-            if p == first:
-                continue
-            lines, cs = data[p[:2]]
-            a, b = cs[p[2]]
-            a0, b0 = c0[first[2]]
-            for _ in range(ld.CONTEXT):
-                if a > 0 and a0 > 0 and lines[a - 1] == l0[a0 - 1]:
-                    a, a0 = a - 1, a0 - 1
-                else:
-                    break
-            for _ in range(ld.CONTEXT):
-                if b + 1 < len(lines) and b0 + 1 < len(l0) and lines[b + 1] == l0[b0 + 1]:
-                    b, b0 = b + 1, b0 + 1
-                else:
-                    break
-            run = lines[a : b + 1]
-            if sum(map(wc, run)) < ld.MIN_RUN or len(run) == 1 and wc(body) < ld.LONG_LINE:
-                continue
-            gone[p[:2]] |= set(range(a, b + 1))
+    """Every run of lines that counts and stands before, in the order of doc_id and
+    a hash of the text, goes; rows equal in both are one document."""
+    signed = lambda n: n - (1 << 64) if n >= 1 << 63 else n
+    key = lambda d, t: (-(2**63) if d is None else d, signed(xxhash.xxh64_intdigest((t or "").encode(), seed=42)))
+    seen, gone = {}, {}
+    for k, t in sorted({key(d, t): t for d, t in docs}.items()):
+        lines, gone[k] = t.split("\n") if t else [], set()
+        for a in range(len(lines)):
+            for b in range(a, min(len(lines), a + 2 * ld.MIN_RUN)):
+                if counts(lines[a : b + 1]):
+                    first, end = seen.setdefault("\n".join(lines[a : b + 1]), (k, b))
+                    if (first, end) != (k, b):
+                        gone[k] |= set(range(max(a, end + 1) if first == k else a, b + 1))
     out = []
     for d, t in docs:
-        g = gone.get(key(d, t), set()) if t else set()
-        lines = t.split("\n") if t else []
+        lines, g = t.split("\n") if t else [], gone[key(d, t)]
         out.append((str(d), len(lines), ",".join(map(str, sorted(g))), "\n".join(x for i, x in enumerate(lines) if i not in g) if g else t))
     return sorted(out, key=repr)
 
@@ -105,3 +61,20 @@ def test_pipeline_form(spark):
     assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema]
     assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()) == [(1, line, 5), (3, "hello", 5), (4, None, None), (5, "own text", 8)]
     assert ld.line_dedup_report(docs.limit(0)).count() == 0
+
+
+def test_many_equal_lines(spark):
+    """Time in proportion to the lines, and only the first run of 40 words stays."""
+    docs = [(1, "\n".join(["same line here"] * 100_000)), (2, "\n".join(["a"] * 100_000)), (3, "\n".join([" " * 50 + "}"] * 30))]
+    began = time.time()
+    got = {r["doc_id"]: r for r in ld.line_dedup_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert time.time() - began < 60
+    assert (got[1]["n_lines"], got[1]["n_removed"]) == (100_000, 100_000 - 14) and got[1]["text"] == "\n".join(["same line here"] * 14)
+    assert got[2]["n_removed"] == 100_000 - 40 and got[3]["n_removed"] == 0
+
+
+def test_no_table_but_the_ranges_is_left(spark):
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    ld.dedup_lines(spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string")).collect()
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} <= {"ranges"}
