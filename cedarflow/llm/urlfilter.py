@@ -8,15 +8,20 @@ often and how variously the context was seen (Witten and Bell).  A URL that no
 rule judges is blocked if the difference of its log-likelihoods, divided by its
 length, is over a threshold calibrated on a fold that the models have not seen.
 
-For the threshold, counts leave out that fold (a fifth of the judged URLs); then
-they are taken anew over all judged URLs, for the scores.  Characters fall into 40 classes, so the
-models are 64,000 numbers whatever the size of the input; they go into the plan
-as a literal.  Log ratios are rounded to 1/10,000 and summed
-as integers.  All of it is DataFrame and SQL functions.
-
-Rows: a null url, or one without ``://``, has an empty host and path and no
-rule, and is allowed, there being nothing against it; equal URLs are judged
-alike; without judged URLs of both kinds, all that no rule judges is allowed.
+The models read a URL whole, query string and fragment with it; only its scheme is
+left out (rules read host and path).  For the threshold, counts leave out that fold
+(a fifth of the judged URLs); then they are taken anew over all judged URLs, for the
+scores.  Characters fall into 40 classes (letters without case, one class for all
+digits, the usual signs, one for everything else), so the models are 64,000 numbers
+whatever the size of the input; they go into the plan as a literal.  Log ratios are
+rounded to 1/10,000 and summed as integers.  All of it is DataFrame and SQL functions.
+
+Rows: a null url, or one without ``://``, has an empty host and path and no rule; the
+models judge it whole, and a null or empty one is allowed, there being nothing
+against it; equal URLs are judged alike, and repeated rows, or rows with equal or null
+ids, are each judged; ties of the threshold go to the higher one; a very long URL is
+read whole; without judged URLs of both kinds, all that no rule judges is allowed; an
+empty table gives an empty one.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -65,7 +70,8 @@ def classes(text: Column) -> Column:
 
 def url_rows(pages: DataFrame) -> DataFrame:
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    said = F.coalesce(F.regexp_replace("url", r"(?s)^.*?://", ""), F.lit(""))
+    rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"), said.alias("said"))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
     return rows.withColumns({"rule": rule, "ruled": verdict})
 
@@ -91,15 +97,15 @@ def model(rows: DataFrame) -> DataFrame:
     tops = table.groupBy("two").agg(*[F.sum(f"n{k}").alias(f"two_all{k}") for k in (0, 1)], *[F.count_if(F.col(f"n{k}") > 0).alias(f"two_kinds{k}") for k in (0, 1)])
     # at most A**2 rows on the right of each join
     whole = table.join(F.broadcast(low), "c").join(F.broadcast(mid), ["one", "c"]).join(F.broadcast(mids), "one").join(F.broadcast(tops), "two")
-    whole = whole.join(F.broadcast(totals.withColumn("zero", F.lit(0))), F.col("g") * 0 == F.col("zero"))
+    whole = whole.withColumn("total", totals.select(F.struct("*")).scalar())
     logs = []
     for k in (0, 1):
-        u, cu, cv = F.col(f"u{k}"), F.col(f"all{k}"), F.col(f"kinds{k}")
+        u, cu, cv = F.col(f"u{k}"), F.col(f"total.all{k}"), F.col(f"total.kinds{k}")
         p = (u + cv / F.lit(float(A)) + F.lit(1.0 / A)) / (cu + cv + F.lit(1.0))
         p = (F.col(f"b{k}") + F.col(f"one_kinds{k}") * p) / F.greatest(F.col(f"one_all{k}") + F.col(f"one_kinds{k}"), F.lit(1)) + F.when(F.col(f"one_all{k}") == 0, p).otherwise(0.0)
         p = (F.col(f"n{k}") + F.col(f"two_kinds{k}") * p) / F.greatest(F.col(f"two_all{k}") + F.col(f"two_kinds{k}"), F.lit(1)) + F.when(F.col(f"two_all{k}") == 0, p).otherwise(0.0)
         logs.append(F.log(p))
-    ratio = F.when((F.col("all0") > 0) & (F.col("all1") > 0), F.round((logs[1] - logs[0]) * UNIT).cast("long")).otherwise(F.lit(0).cast("long"))
+    ratio = F.when((F.col("total.all0") > 0) & (F.col("total.all1") > 0), F.round((logs[1] - logs[0]) * UNIT).cast("long")).otherwise(F.lit(0).cast("long"))
     pairs = whole.select(F.struct("g", ratio.alias("r")).alias("x"))
     return pairs.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["r"]).alias("ratio"))
 
@@ -107,7 +113,7 @@ def model(rows: DataFrame) -> DataFrame:
 def scored(rows: DataFrame, ratio: Column) -> DataFrame:
     """With ``score``: the mean log ratio of a URL's characters, in 1/UNIT."""
     total = F.aggregate(F.sequence(F.lit(0), F.size("cs") - 3), F.lit(0).cast("long"), lambda acc, i: acc + F.get(ratio, ((F.get("cs", i) * A + F.get("cs", i + 1)) * A + F.get("cs", i + 2)).cast("int")))
-    return rows.withColumn("score", F.when(F.length("host") + F.length("path") > 0, F.floor(total / F.greatest(F.size("cs") - 2, F.lit(1)))).cast("long"))
+    return rows.withColumn("score", F.when(F.length("said") > 0, F.floor(total / F.greatest(F.size("cs") - 2, F.lit(1)))).cast("long"))
 
 
 def threshold(held: DataFrame) -> DataFrame:
@@ -130,7 +136,7 @@ def threshold(held: DataFrame) -> DataFrame:
 def judge_urls(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, host, path, rule, verdict, and the method's score."""
     rows = url_rows(pages.select("page_id", F.col("url").cast("string").alias("url")))
-    rows = rows.withColumn("cs", classes(F.concat("host", "path")))
+    rows = rows.withColumn("cs", classes(F.col("said")))
     known = rows.filter("ruled is not null").withColumn("held", F.pmod(F.crc32("url"), F.lit(5)) == 0)
     # A**3 numbers and one number, whatever the input's size; they become literals of the plan
     ratio_of = lambda some: F.split(F.lit(",".join(map(str, model(some).first()["ratio"]))), ",").cast("array<int>")

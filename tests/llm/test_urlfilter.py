@@ -17,6 +17,11 @@ def parts(url):
     return host, path[: min((path.find(c) for c in "?#" if c in path), default=len(path))]
 
 
+def said(url):
+    """What the models read: all behind the first ://, or all."""
+    return (url or "").split("://", 1)[-1]
+
+
 def rule(host, path):
     fit = [(len(h + p), h + p, v) for v, h, p in uf.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fit)[1:] if fit else (None, None)
@@ -33,7 +38,7 @@ def classes(text):
 
 def brute(pages):
     rows = [(i, u, *parts(u)) for i, u in pages]
-    rows = [(i, u, h, p, *rule(h, p), classes(h + p)) for i, u, h, p in rows]
+    rows = [(i, u, h, p, *rule(h, p), classes(said(u))) for i, u, h, p in rows]
     known = [(r, zlib.crc32(r[1].encode()) % 5 == 0) for r in rows if r[4]]
     A, n = uf.A, [Counter(), Counter()]
     for r, held in known:
@@ -70,13 +75,13 @@ def brute(pages):
     if n0 and n1:
         best = max((sum(v == "allow" and b <= c for b, v in held) / n0 + sum(v == "block" and b > c for b, v in held) / n1, c) for c in range(-uf.BINS, uf.BINS + 1))
         least = (best[1] + 1) * width - 1
-    return sorted((str(i), h, p, str(name), v or ("block" if h + p and score(cs) > least else "allow")) for i, u, h, p, name, v, cs in rows)
+    return sorted((str(i), h, p, str(name), v or ("block" if said(u) and score(cs) > least else "allow")) for i, u, h, p, name, v, cs in rows)
 
 
 def test_brute_force(spark):
     pages = [(r["page_id"], r["url"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").collect()]
     pages += [(1000, None), (1001, ""), (1002, "no scheme"), (1003, "HTTP://WWW.Example.ORG/es/x?y"), (1004, "a://b://c.org/"), (1005, "x://org"), (1006, "x://org/"), (1007, "http://é.example.net/ü\n/?#"), (1007, "http://é.example.net/ü\n/?#"),
-              (None, "x://notorg/"), (1008, "http://example.org/en/1" + "9" * 5000), (1009, "x://h?://z/")]
+              (None, "x://notorg/"), (1008, "http://example.org/en/1" + "9" * 5000), (1009, "x://h?://z/"), (1010, "#"), (1011, "http://#a"), (1012, "http://h.net/a?" + "q=1&" * 3000)]
     df = spark.createDataFrame(pages, "page_id long, url string")
     got = sorted((str(r["page_id"]), r["host"], r["path"], str(r["rule"]), r["verdict"]) for r in uf.judge_urls(df).collect())
     assert got == brute(pages)
@@ -87,3 +92,16 @@ def test_without_training_rows(spark):
     df = spark.createDataFrame([(1, "http://a.net/x", 3), (2, None, 3)], "page_id long, url string, score int")
     assert {r["verdict"] for r in uf.judge_urls(df).collect()} == {"allow"}
     assert uf.judge_urls(df.limit(0)).count() == 0
+
+
+def test_query_string_and_fragment_count(spark):
+    pages = [f"http://h{i}.org/a?{'q' * 9}{i}" for i in range(80)] + [f"http://example.org/es/a?{'v' * 9}{i}" for i in range(80)] + ["http://x.net/a?qqqqqqqqq", "http://x.net/a?vvvvvvvvv", "http://x.net/a#vvvvvvvvv"]
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(pages)], "page_id long, url string, host string")
+    score = {r["page_id"]: r["score"] for r in uf.judge_urls(df).collect()}
+    assert score[160] < 0 < score[161] and score[160] < score[162]
+
+
+def test_no_join_without_keys(spark):
+    df = spark.createDataFrame([(1, "http://a.org/x", "k")], "page_id long, url string, k string")
+    plan = uf.model(uf.url_rows(df).withColumn("cs", uf.classes(uf.F.col("said"))).withColumn("ruled", uf.F.lit("allow")))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
