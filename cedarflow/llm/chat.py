@@ -3,8 +3,9 @@
 A layout's fingerprint is the hash of its sorted nested field paths
 (``messages[].role`` and so on).  A table of declarative mappings, looked up by
 fingerprint, says where role and text of each turn are; it covers rows of turns,
-message lists, prompt with response, and instruction with input and output.
-Rows that are JSON texts are fingerprinted one by one.
+message lists, prompt with response, and instruction with input and output.  Paths
+that no mapping names are left out of the fingerprint, so further fields do not
+matter.  A JSON text's own paths are hashed, row by row, and the hash looked up.
 
 Turns are written as ``<|turn|>role<|text|>text<|end|>``.  Control strings, and
 those that other templates use, are broken inside roles and texts by a backslash
@@ -17,7 +18,11 @@ Rows: null texts and roles are empty; a null turn number comes first; equal turn
 numbers stand in the order of role and text, and repeated rows are all kept;
 rows without a conversation's id form one conversation of their own.  A
 conversation is put together from blocks of turns, so that a long one is shared
-out before its pieces meet.  Extra columns are not read.
+out before its pieces meet; a very long text is escaped whole.  A JSON text that is
+null, broken or of no known layout has null turns and a null layout.  An empty table
+gives an empty one.  Extra columns are not read by :func:`chat_report` and
+:func:`canonical_turns`; :func:`json_turns` keeps them and replaces those named as
+its results.
 """
 
 from __future__ import annotations
@@ -66,11 +71,13 @@ def fingerprint(field_paths) -> str:
 
 
 BY_FINGERPRINT = {fingerprint(p): m for p, m in MAPPINGS.items()}
+KNOWN = sorted({p for field_paths in MAPPINGS for p in field_paths})
 
 
 def mapping_of(schema: T.StructType, ignored: tuple[str, ...] = ()) -> tuple:
-    """The mapping for a schema; columns that are ignored do not count."""
-    found = BY_FINGERPRINT.get(fingerprint(p for p in paths(schema) if p.split(".")[0].split("[")[0] not in ignored))
+    """The mapping for a schema; columns that are ignored, and paths that no mapping
+    names, do not count."""
+    found = BY_FINGERPRINT.get(fingerprint(p for p in paths(schema) if p in KNOWN and p.split(".")[0].split("[")[0] not in ignored))
     if found is None:
         raise ValueError(f"no mapping for the fields {', '.join(sorted(paths(schema)))}")
     return found
@@ -103,29 +110,28 @@ def canonical_turns(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.select(*([key] if key else []), turns_column(mapping, lambda n: F.col(f"`{n}`")).alias("turns"))
 
 
+def _prefixed(prefix: Column, names: Column) -> Column:
+    return F.transform(names, lambda k: F.concat(prefix, k))
+
+
 def json_turns(df: DataFrame, json_col: str) -> DataFrame:
     """``df`` with ``layout`` (a row's fingerprint) and ``turns`` (null where no
     mapping is known) of records given as JSON texts, each in its own layout."""
-    text = F.schema_of_variant(F.try_parse_json(json_col))
-    # OBJECT<a: ARRAY<OBJECT<b: STRING>>> has the paths of its leaves
-    out = df.withColumn("_schema", text)
-    kinds, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for field_paths, mapping in MAPPINGS.items():
-        if mapping[0] == "rows":
-            continue
-        if mapping[0] == "list":
-            _, name, role, content = mapping
-            schema = f"{name} array<struct<`{role}`:string,`{content}`:string>>"
-            ordered = sorted((role, content))
-            shape = f"^OBJECT<{name}: ARRAY<OBJECT<{ordered[0]}: (STRING|VOID), {ordered[1]}: (STRING|VOID)>>>$"
-        else:
-            schema = ", ".join(f"`{p}` string" for p in field_paths)
-            shape = "^OBJECT<" + ", ".join(f"{p}: (STRING|VOID)" for p in sorted(field_paths)) + ">$"
-        fits = F.col("_schema").rlike(shape)
-        parsed = F.from_json(F.when(fits, F.col(json_col)), schema)
-        kinds = F.when(fits, F.lit(fingerprint(field_paths))).otherwise(kinds)
-        turns = F.when(fits, turns_column(mapping, lambda n, parsed=parsed: parsed[n])).otherwise(turns)
-    return out.withColumns({"layout": kinds, "turns": turns}).drop("_schema")
+    jsons = {m: p for p, m in MAPPINGS.items() if m[0] != "rows"}
+    lists = sorted(m[1] for m in jsons if m[0] == "list")
+    known = [p for p in KNOWN if any(p in field_paths for field_paths in jsons.values())]
+    record = F.from_json(json_col, "map<string,string>")
+    out = df.withColumn("_record", record).withColumns({f"_list_{n}": F.from_json(F.col("_record")[n], "array<map<string,string>>") for n in lists})
+    inner = [_prefixed(F.lit(f"{n}[]."), F.flatten(F.transform(F.filter(f"_list_{n}", lambda m: m.isNotNull()), lambda m: F.map_keys(m)))) for n in lists]
+    own = F.concat(F.map_keys("_record"), *[F.coalesce(x, F.array()) for x in inner])
+    named = F.filter(F.array_sort(F.array_distinct(own)), lambda p: p.isin(known))
+    kinds = F.sha2(F.array_join(named, "\n"), 256)
+    turns = F.lit(None).cast(TURNS)
+    for mapping, field_paths in jsons.items():
+        field = (lambda n: F.col(f"_list_{n}")) if mapping[0] == "list" else (lambda n: F.col("_record")[n])
+        turns = F.when(F.col("layout") == fingerprint(field_paths), turns_column(mapping, field)).otherwise(turns)
+    out = out.withColumn("layout", F.when(kinds.isin([fingerprint(p) for p in jsons.values()]), kinds)).withColumn("turns", turns)
+    return out.drop("_record", *[f"_list_{n}" for n in lists])
 
 
 def escaped(text: Column) -> Column:
@@ -184,7 +190,7 @@ def learnt(formatted: Column, mask: Column) -> Column:
 def chat_report(rows: DataFrame) -> DataFrame:
     """Per conversation, read back from its formatted text: conv_id, n_turns,
     turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    made = canonical_turns(rows)
+    made = canonical_turns(rows.select("conv_id", "turn", "role", "text"))
     turns = read_back(F.col("formatted"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     out = made.withColumns({"turns": turns, "learnt": learnt(F.col("formatted"), F.col("loss_mask"))})

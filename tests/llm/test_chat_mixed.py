@@ -1,0 +1,45 @@
+"""Mixed layouts, further fields, clashing columns."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from cedarflow.llm import chat
+
+
+def test_all_layouts_in_one_table_with_further_fields(spark):
+    cases = [
+        ({"messages": [{"role": "user", "content": "q", "id": 1}, {"content": None, "role": "assistant", "tags": ["x"]}], "id": "7"}, [("user", "q"), ("assistant", "")]),
+        ({"id": 5, "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a", "weight": 0.5}, {"from": "other", "value": "b"}]}, [("user", "q"), ("assistant", "a"), ("other", "b")]),
+        ({"prompt": "p", "response": "r", "meta": {"source": "s"}}, [("user", "p"), ("assistant", "r")]),
+        ({"completion": "r", "prompt": "p", "score": 1}, [("user", "p"), ("assistant", "r")]),
+        ({"instruction": "i", "output": "o", "lang": "en"}, [("user", "i"), ("assistant", "o")]),
+        ({"instruction": "i", "input": "", "output": "o"}, [("user", "i"), ("assistant", "o")]),
+        ({"instruction": "i", "input": "n", "output": "o"}, [("user", "i\n\nn"), ("assistant", "o")]),
+        ({"system": "", "prompt": "p", "response": 5}, [("user", "p"), ("assistant", "5")]),
+        ({"messages": [], "x": 1}, None), ({"prompt": "p"}, None), ({"prompt": "p", "response": "r", "output": "o"}, None), ({"messages": [None]}, None), ([1], None), ({}, None), ("text", None),
+    ]
+    rows = [(k, json.dumps(c), "mine") for k, (c, _) in enumerate(cases)] + [(90, "{", "mine"), (91, None, "mine"), (92, "", "mine")]
+    out = chat.json_turns(spark.createDataFrame(rows, "k int, j string, turns string").repartition(3), "j")
+    got = {r["k"]: r for r in out.collect()}
+    for k, (c, want) in enumerate(cases):
+        turns = got[k]["turns"]
+        assert (None if turns is None else [tuple(t) for t in turns]) == want, c
+    assert all(got[k]["turns"] is None and got[k]["layout"] is None for k in (90, 91, 92)) and out.columns == ["k", "j", "turns", "layout"]
+    by_layout = {r["layout"]: r["n"] for r in out.groupBy("layout").agg(F.count("*").alias("n")).collect()}
+    assert by_layout.pop(None) == 10 and sorted(by_layout.values()) == [1, 1, 1, 1, 1, 1, 2] and set(by_layout) <= set(chat.BY_FINGERPRINT)
+    assert chat.json_turns(out.limit(0), "j").count() == 0
+
+
+def test_further_columns_are_not_read(spark):
+    df = spark.createDataFrame([(1, 1, "user", "hi", "x", "p"), (1, 2, "assistant", "yo", "x", "p")], "conv_id long, turn long, role string, text string, formatted string, prompt string")
+    row = chat.chat_report(df).first()
+    assert (row["conv_id"], row["n_turns"], row["loss_chars"]) == (1, 2, 2)
+    more = spark.createDataFrame([("p", "r", 3, "m")], "prompt string, response string, score int, meta string")
+    assert [tuple(t) for t in chat.canonical_turns(more).first()["turns"]] == [("user", "p"), ("assistant", "r")]
+
+
+def test_native(spark):
+    df = spark.createDataFrame([("{}",)], "j string")
+    plan = chat.json_turns(df, "j")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
