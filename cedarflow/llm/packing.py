@@ -10,7 +10,10 @@ distributed part gives every piece its rank among pieces of its length (salted,
 so that a common length is shared out), and looks the rank up in the plan.
 
 Rows: a null or empty text is the end id alone; repeated rows are packed each; a
-null doc_id is kept as it is; an empty table has no pieces.
+null doc_id is kept as it is, and rows of one or no doc_id are shared out by their
+ids' checksums; pieces equal in doc_id, number and checksum have ranks in any order,
+being alike; a very long text is encoded whole and cut; an empty table has no
+pieces.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cedarflow.llm.common import materialise, partitions_of, small_batches
+from cedarflow.llm.common import materialise, partitions_of, small_batches, spread
 from cedarflow.llm.tokens import encoder, public_path
 
 CAPACITY = 2048
@@ -46,7 +49,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return spread(picked, "doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Plan:
@@ -157,10 +160,10 @@ class Plan:
 def with_ranks(pieces: DataFrame) -> DataFrame:
     """``pieces`` with ``rank``, numbered from 0 among pieces of equal length."""
     salts = max(32, partitions_of(pieces.sparkSession))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     return salted.hint("merge").join(bases, ["length", "salt"]).withColumn("rank", F.col("base") + F.row_number().over(own) - 1).drop("salt", "base")
 
 
