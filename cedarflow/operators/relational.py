@@ -10,7 +10,7 @@ import sys
 from collections.abc import Sequence
 from typing import TextIO
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,12 +130,35 @@ def print_rows(df: DataFrame, to: TextIO = sys.stdout) -> int:
     number of rows."""
     n = 0
     for row in df.toLocalIterator():
-        parts = (f"{k}: [{format(v, 'g') if isinstance(v, float) else '' if v is None else v}]" for k, v in row.asDict().items())
+        parts = (f"{k}: [{format(v, 'g') if isinstance(v, float) else '' if v is None else v}]" for k, v in zip(df.columns, row, strict=True))
         to.write(", ".join(parts) + "\n")
         n += 1
     return n
 
 
+def order_text(df: DataFrame, order: str | Sequence[str]) -> str:
+    """A sort order in words: the number of keys, and each key's place and type."""
+    names = predicate.sort_keys(order) if isinstance(order, str) else list(order)
+    places = [f"{df.columns.index(n)} {kind_of(df.schema[n].dataType)}" for n in names if n in df.columns]
+    if len(places) < len(names):
+        raise UnknownColumn(f"no column {', '.join(n for n in names if n not in df.columns)}")
+    return f"{len(places)} keys: {', '.join(places)}"
+
+
+def stored_positions(spark: SparkSession, path: str, out: str = "position") -> DataFrame:
+    """The rows of a folder of Parquet files, each with its number (from 1) in the
+    order in which they were written: by file, and in it by row.
+
+    Only the files' row counts meet in one task, not the rows.
+    """
+    rows = spark.read.parquet(path)
+    placed = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    counts = placed.groupBy("_file").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return placed.join(bases, "_file").select(*rows.columns, (F.col("_base") + F.col("_row") + 1).alias(out))
+
+
 def save_sorted(df: DataFrame, order: str | Sequence[str], path: str) -> None:
     """Sort and store as a new table of Parquet files."""
     sort(df, order).write.mode("overwrite").parquet(path)

@@ -57,9 +57,16 @@ def parse_catalog(text: str) -> dict[str, Relation]:
     return found
 
 
-def load_catalog(path: str) -> dict[str, Relation]:
+def text_of(path: str, spark: SparkSession | None = None) -> str:
+    """A small text file: of this machine, or with a session of any store."""
+    if spark is not None:
+        return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
     with open(path, encoding="utf-8") as f:
-        return parse_catalog(f.read())
+        return f.read()
+
+
+def load_catalog(path: str, spark: SparkSession | None = None) -> dict[str, Relation]:
+    return parse_catalog(text_of(path, spark))
 
 
 def relation_of(catalog: dict[str, Relation], name: str) -> Relation:

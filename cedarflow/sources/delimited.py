@@ -29,6 +29,17 @@ def read_tbl(spark: SparkSession, path: str, schema: T.StructType, lenient: bool
 
 
 def write_tbl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write with a ``|`` behind every field; null is written as nothing."""
-    fields = [F.concat(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|")) for c in df.columns]
+    """Write with a ``|`` behind every field; null is written as nothing.
+
+    The format has no way to write ``|`` or a line end inside a value; the write fails
+    at the first such value.
+    """
+    def field(c: str):
+        value = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+        if not isinstance(df.schema[c].dataType, T.StringType):
+            return F.concat(value, F.lit("|"))
+        refused = F.raise_error(F.concat(F.lit(f"{c}: a delimited file cannot hold "), value)).cast("string")
+        return F.when(value.rlike(r"[|\n\r]"), refused).otherwise(F.concat(value, F.lit("|")))
+
+    fields = [field(c) for c in df.columns]
     df.select(F.concat(*fields).alias("line")).write.mode(mode).text(path)

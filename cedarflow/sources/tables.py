@@ -1,10 +1,15 @@
 """Stored tables: heaps, and tables kept sorted by a key.
 
 A table is a folder with Parquet files and a small JSON file that says what it
-is.  A sorted table collects new rows and merges them when it is read or closed:
-old and new rows are dealt by ranges of the key, sorted, written beside the old
-files, and then the JSON file is switched to them, so a merge that fails leaves
-the table as it was.
+is.  The JSON file is never changed: each state is a file with the next number, put
+in place by one rename, and the highest number counts.  So a write that fails leaves
+the table as it was, and two writers cannot both make the same state.
+
+A sorted table collects new rows and stores them when it is read or closed: they
+are dealt by ranges of the key, sorted, and written as a further sorted run, so a few
+new rows cost what they are, not what the table is.  Beyond ``MOST_RUNS`` runs they are
+rewritten as one.  Files of earlier states stay for those who still read them, until
+``vacuum``.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ import json
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +27,11 @@ from pyspark.sql import types as T
 from cedarflow.errors import EngineError, UnknownColumn
 from cedarflow.functions import arithmetic, predicate
 from cedarflow.operators import relational
-from cedarflow.sources.catalog import Relation, load_catalog, relation_of
+from cedarflow.sources.catalog import Relation, load_catalog, relation_of, text_of
 from cedarflow.sources.delimited import read_tbl
 
-META = "table.json"
+META = "table-{:09d}.json"
+MOST_RUNS = 8
 
 
 class Store:
@@ -48,12 +55,22 @@ class Store:
             stream.close()
 
     def write(self, name: str, text: str) -> None:
-        temp = self._path(f"{name}.{uuid.uuid4().hex}")
+        """Put a new file in place; one that is there already is not replaced."""
+        temp = self._path(f".{name}.{uuid.uuid4().hex}")
         stream = self.fs.create(temp, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        self.fs.delete(self._path(name), False)
-        self.fs.rename(temp, self._path(name))
+        if self.fs.exists(self._path(name)) or not self.fs.rename(temp, self._path(name)):
+            self.fs.delete(temp, False)
+            raise EngineError(f"{self.root}: another writer has made {name}")
+
+    def names(self) -> list[str]:
+        root = self._path("")
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(root)) if self.fs.exists(root) else []
+
+    def states(self) -> list[str]:
+        """The files that say what a table is, the one that counts last."""
+        return [n for n in self.names() if n.startswith("table-") and n.endswith(".json")]
 
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
@@ -101,7 +118,15 @@ class Table:
         """Nothing is pending in a heap."""
 
     def _write_meta(self) -> None:
-        Store(self.spark, self.path).write(META, json.dumps(self.meta))
+        self.meta = self.meta | {"version": self.meta["version"] + 1}
+        Store(self.spark, self.path).write(META.format(self.meta["version"]), json.dumps(self.meta))
+
+    def vacuum(self) -> None:
+        """Delete what only earlier states need; nobody may be reading them."""
+        store, own = Store(self.spark, self.path), {META.format(self.meta["version"]), self.meta["data"], *self.meta["runs"]}
+        for name in store.names():
+            if name not in own:
+                store.delete(name)
 
 
 class HeapTable(Table):
@@ -127,28 +152,34 @@ class SortedTable(Table):
     def append(self, df: DataFrame) -> None:
         self.staged.append(df.select(*self.schema.names))
 
-    def merge(self) -> None:
-        if not self.staged:
-            return
-        store, old = Store(self.spark, self.path), self.meta["data"]
-        parts = list(self.staged)
-        if store.exists(old):
-            parts.insert(0, self.spark.read.schema(self.schema).parquet(self._data()))
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.unionByName(p)
-        new = f"data-{uuid.uuid4().hex}"
-        whole.repartitionByRange(*self.keys).sortWithinPartitions(*self.keys).write.parquet(f"{self.path}/{new}")
-        self.meta = self.meta | {"data": new}
+    def _run(self, df: DataFrame, earlier: list[str]) -> None:
+        """Store rows as a sorted run behind the earlier ones, and make it count."""
+        new = f"run-{uuid.uuid4().hex}"
+        df.repartitionByRange(*self.keys).sortWithinPartitions(*self.keys).write.parquet(f"{self.path}/{new}")
+        self.meta = self.meta | {"runs": [*earlier, new]}
         self._write_meta()
-        store.delete(old)
-        self.staged.clear()
+
+    def _stored(self) -> DataFrame:
+        if not self.meta["runs"]:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{r}" for r in self.meta["runs"]])
+
+    def merge(self) -> None:
+        """Store the rows that wait; with too many runs, rewrite them as one."""
+        if self.staged:
+            self._run(reduce(DataFrame.unionByName, self.staged), self.meta["runs"])
+            self.staged.clear()
+        if len(self.meta["runs"]) > MOST_RUNS:
+            self.compact()
+
+    def compact(self) -> None:
+        """Rewrite all runs as one."""
+        if len(self.meta["runs"]) > 1:
+            self._run(self._stored(), [])
 
     def _files(self) -> DataFrame:
         self.merge()
-        if not Store(self.spark, self.path).exists(self.meta["data"]):
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._data())
+        return self._stored()
 
     def scan(self, condition: str | None = None, strict: bool = False) -> DataFrame:
         """In the order of the keys.  A predicate reaches the Parquet files, whose
@@ -191,7 +222,7 @@ def create(spark: SparkSession, path: str, schema: T.StructType, kind: str = "he
         if k not in schema.names:
             raise UnknownColumn(f"no column {k}")
     Store(spark, path).delete("")
-    meta = {"kind": kind, "keys": names, "data": "data-0", "schema": json.loads(schema.json())}
+    meta = {"kind": kind, "keys": names, "data": "data-0", "runs": [], "version": -1, "schema": json.loads(schema.json())}
     table = (HeapTable if kind == "heap" else SortedTable)(spark, path.rstrip("/"), meta)
     table._write_meta()
     return table
@@ -200,9 +231,10 @@ def create(spark: SparkSession, path: str, schema: T.StructType, kind: str = "he
 def open_table(spark: SparkSession, path: str) -> HeapTable | SortedTable:
     """The table at ``path``, of the kind it was created as."""
     store = Store(spark, path)
-    if not store.exists(META):
+    states = store.states()
+    if not states:
         raise EngineError(f"no table at {path}")
-    meta = json.loads(store.read(META))
+    meta = json.loads(store.read(states[-1]))
     return (HeapTable if meta["kind"] == "heap" else SortedTable)(spark, path.rstrip("/"), meta)
 
 
@@ -215,10 +247,10 @@ class Settings:
     files: str
 
 
-def read_settings(path: str) -> Settings:
-    """Three lines: catalog, folder of tables (may be empty), folder of files."""
-    with open(path, encoding="utf-8") as f:
-        lines = [x.strip() for x in f.read().split("\n")]
+def read_settings(path: str, spark: SparkSession | None = None) -> Settings:
+    """Three lines: catalog, folder of tables (may be empty), folder of files.
+    With a session, ``path`` may be in any store that Spark reads."""
+    lines = [x.strip() for x in text_of(path, spark).split("\n")]
     if len(lines) < 3 or not lines[0]:
         raise EngineError(f"{path} does not have three lines")
     return Settings(*lines[:3])
@@ -252,8 +284,8 @@ class Handle:
         return predicate.sort_keys(text)
 
 
-def handle(settings: Settings, name: str) -> Handle:
-    return Handle(relation_of(load_catalog(settings.catalog), name), settings)
+def handle(settings: Settings, name: str, spark: SparkSession | None = None) -> Handle:
+    return Handle(relation_of(load_catalog(settings.catalog, spark), name), settings)
 
 
 def filter_file(spark: SparkSession, path: str, schema: T.StructType, condition: str) -> DataFrame:
@@ -261,7 +293,10 @@ def filter_file(spark: SparkSession, path: str, schema: T.StructType, condition:
     return relational.select(read_tbl(spark, path, schema), condition)
 
 
-def count_distinct(df: DataFrame) -> dict[str, int]:
-    """Rows and distinct values by column, for the estimator, in one pass."""
-    row = df.agg(F.count("*").alias("_rows"), *[F.countDistinct(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()
+def count_distinct(df: DataFrame, approximate: bool = False) -> dict[str, int]:
+    """Rows and distinct values by column, for the estimator, in one pass.  Exact
+    counts expand every row by the number of columns; ``approximate`` ones (within
+    some 2 %) need a small sketch for each column and no expansion."""
+    count = (lambda c: F.approx_count_distinct(c, 0.02)) if approximate else F.countDistinct
+    row = df.agg(F.count("*").alias("_rows"), *[count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()
     return {k: int(v) for k, v in row.asDict().items()}

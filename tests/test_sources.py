@@ -81,3 +81,36 @@ def test_settings(spark, tmp_path):
     (tmp_path / "set").write_text("x")
     with pytest.raises(EngineError):
         tables.read_settings(str(tmp_path / "set"))
+
+
+def test_earlier_scans_outlive_merges(spark, tmp_path):
+    schema = catalog.schema_of([("k", "Int")])
+    t = tables.create(spark, str(tmp_path / "s"), schema, "sorted", "(k)")
+    t.add([(3,), (1,)])
+    early = t.scan()
+    for k in range(20, 20 + tables.MOST_RUNS + 1):
+        t.add([(k,)])
+        t.merge()
+    assert len(t.meta["runs"]) <= tables.MOST_RUNS and [r["k"] for r in early.collect()] == [1, 3]
+    assert [r["k"] for r in tables.open_table(spark, t.path).rows()] == [1, 3, *range(20, 29)]
+    t.vacuum()
+    assert [r["k"] for r in tables.open_table(spark, t.path).rows()] == [1, 3, *range(20, 29)]
+    assert len(list((tmp_path / "s").glob("table-*.json"))) == 1
+
+
+def test_two_writers_do_not_make_one_state(spark, tmp_path):
+    schema = catalog.schema_of([("k", "Int")])
+    a = tables.create(spark, str(tmp_path / "s"), schema, "sorted", "(k)")
+    b = tables.open_table(spark, a.path)
+    a.add([(1,)])
+    a.merge()
+    b.add([(2,)])
+    with pytest.raises(EngineError):
+        b.merge()
+    assert [r["k"] for r in tables.open_table(spark, a.path).rows()] == [1]
+
+
+def test_values_that_the_format_cannot_hold(spark, tmp_path):
+    for bad in ("a|b", "a\nb", "a\rb"):
+        with pytest.raises(Exception, match="a delimited file cannot hold"):
+            delimited.write_tbl(spark.createDataFrame([(1, "fine"), (2, bad)], "k int, s string"), str(tmp_path / "bad"))
