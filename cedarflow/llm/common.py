@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -38,11 +39,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables made in the :func:`settled` calls under way, innermost last.
+_MADE: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and a
     lost executor costs nothing that was written."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    for paths in _MADE.get()[-1:]:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -70,6 +77,21 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(2 * cores, F.xxhash64(*by)) if 0 < files < cores else df
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, as a table; the tables that were made on the way, and
+    that only it read, are deleted."""
+    made: list[str] = []
+    token = _MADE.set((*_MADE.get(), made))
+    try:
+        out = make()
+    finally:
+        _MADE.reset(token)
+    table = materialise(out, name)
+    for path in made:
+        remove_path(out.sparkSession, path)
+    return table
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
