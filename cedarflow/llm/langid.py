@@ -211,8 +211,12 @@ def gather(docs: DataFrame, sample: int, seed: int) -> list[tuple[str, bool, np.
 
     chosen = learnt.filter((bin_ < F.element_at(least, F.col("lang"))) & (F.col("key") <= F.element_at(ends, F.col("lang")))).dropDuplicates(["lang", "key"])
     rows = chosen.select("lang", "key", "text").mapInArrow(run, "lang string, key long, piece int, buckets array<int>, shares array<float>").toArrow()
-    rows = rows.take(pa.compute.sort_indices(rows, [("key", "ascending"), ("lang", "ascending"), ("piece", "ascending")]))
-    return [(lang, k % 5 == 0, np.array(b.values), np.array(s.values)) for lang, k, b, s in zip(rows["lang"].to_pylist(), rows["key"].to_pylist(), rows["buckets"], rows["shares"], strict=True)]
+    order = pa.compute.sort_indices(rows, [("key", "ascending"), ("lang", "ascending"), ("piece", "ascending")]).to_pylist()
+    langs, keys = rows["lang"].to_pylist(), rows["key"].to_pylist()
+    buckets, shares = (rows[c].combine_chunks() for c in ("buckets", "shares"))
+    # views of one array each, so that the driver holds the sample once
+    at, found, weights = buckets.offsets.to_numpy(), buckets.values.to_numpy(), shares.values.to_numpy()
+    return [(langs[i], keys[i] % 5 == 0, found[at[i] : at[i + 1]], weights[at[i] : at[i + 1]]) for i in order]
 
 
 def train(examples: list[tuple[str, bool, np.ndarray, np.ndarray]], seed: int = 1) -> Model:
@@ -271,7 +275,9 @@ def calibrate(model: Model, held: list, number: dict[str, int]) -> None:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 1) -> Model:
-    return train(gather(docs, sample, seed), seed)
+    model = train(gather(docs, sample, seed), seed)
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
