@@ -55,6 +55,7 @@ SIGMAS = 4
 BLOCK_SHINGLES = 1 << 20
 BLOCK_CLASSES = 4096
 RARE = 32
+SALTS = 16
 
 
 def sets_of(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -237,25 +238,26 @@ def hot_edges(entries: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     return dealt.select("v", "i", "j", "rep", "root", "block", "text").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Per node of the edges (a, b): node, root (the smallest node it reaches).
+def with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` with their nodes' m of ``least``; a node with very many edges is
+    dealt to ``SALTS`` places."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return salted.hint("merge").join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["u", "salt"]).drop("salt")
+
 
-    Both sides of each join are read from tables, so that run-time planning can
-    split the rows of a node with very many edges.
-    """
+def components(edges: DataFrame) -> DataFrame:
+    """Per node of the edges (a, b): node, root (the smallest node it reaches)."""
     here = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
     while True:
         both = here.unionByName(here.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = materialise(both.hint("merge").join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        after_large = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        joined = large.hint("merge").join(after_large, "u")
-        small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(after_large.select("u", F.col("m").alias("v"))).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = with_least(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = with_least(large, least).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         after = materialise(small, "edges")
         now = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        for done in (here, least, large, after_large):
-            discard(done)
+        discard(here)
         here = after
         if now == mark:
             return here.select(F.col("u").alias("node"), F.col("v").alias("root"))
