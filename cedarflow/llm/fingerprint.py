@@ -10,7 +10,13 @@ weighted terms.  The (r, c, beta) come from a table of 65,536 drawn once; equal
 values go to the smaller hash.  A sample is kept as 16 bits, four hex digits.
 
 Rows: null and empty texts (and texts without words) have no terms and share
-one constant fingerprint; equal texts have equal fingerprints.
+one constant fingerprint; equal texts have equal fingerprints; repeated rows, and
+rows with equal or null ids, are each answered.  A null id comes last, and rows of
+one id stand in the order of their texts: they pass through one task, a batch at a
+time, however many there are.  A very long text is read whole, its terms a block at
+a time; an empty table gives an empty one.  Extra columns are not read by
+:func:`fingerprint_report` and kept by :func:`fingerprint`, which replaces one that
+is named as its result.
 """
 
 from __future__ import annotations
