@@ -12,9 +12,10 @@ values go to the smaller hash.  A sample is kept as 16 bits, four hex digits.
 Rows: null and empty texts (and texts without words) have no terms and share
 one constant fingerprint; equal texts have equal fingerprints; repeated rows, and
 rows with equal or null ids, are each answered.  A null id comes last, and rows of
-one id stand in the order of their texts: they pass through one task, a batch at a
-time, however many there are.  A very long text is read whole, its terms a block at
-a time; an empty table gives an empty one.  Extra columns are not read by
+one id stand in the order of their texts; many of them are dealt to several tasks by
+their texts' beginnings, and those that agree in ``BEGINNING`` code points pass through
+one, a batch at a time.  A very long text is read whole, its terms a block at a time;
+an empty table gives an empty one.  Extra columns are not read by
 :func:`fingerprint_report` and kept by :func:`fingerprint`, which replaces one that
 is named as its result.
 """
@@ -22,13 +23,16 @@ is named as its result.
 from __future__ import annotations
 
 import hashlib
+import json
+import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cedarflow.llm.common import partitions_of, small_batches
@@ -36,6 +40,9 @@ from cedarflow.llm.shingles import U, mix, shingle_hashes
 
 SAMPLES = 64
 ROWS = 1024
+#: Code points by which the rows of one id are dealt; beginnings seen for a bucket.
+BEGINNING = 64
+SIGHTS = 20
 
 
 @lru_cache(maxsize=1)
@@ -94,32 +101,63 @@ def fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "fingerp
     return docs.withColumn(out_col, signed(F.col(text_col).cast("string")))
 
 
+def cut_points(picked: DataFrame, n: int) -> list[tuple[bool, int, str]]:
+    """Where buckets of about an ``n``-th of the rows begin, as keys of :func:`place`.
+
+    They are quantiles of doc_id.  An id that holds several of them, or none as a
+    null, is cut further at beginnings of its texts, of which one in so many is
+    looked at that about ``SIGHTS`` stand for each bucket.
+    """
+    found = picked.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("c"), F.count("*").alias("rows"), F.count("doc_id").alias("ids")).first()
+    shares = Counter(found["c"] or [])
+    if found["rows"] > found["ids"]:
+        shares[None] = math.ceil(n * (1 - found["ids"] / found["rows"]))
+    cuts = [(c is None, ~c if c is not None else 0, "") for c in shares]
+    heavy = {c: m for c, m in shares.items() if m > 1}
+    every = found["rows"] // (SIGHTS * n) + 1
+    if heavy and found["rows"] > n:
+        ids = F.col("doc_id").isin([c for c in heavy if c is not None])
+        chosen = picked.filter(F.coalesce(ids, F.lit(None in heavy))).select("doc_id", beginning().alias("p")).filter(F.pmod(F.xxhash64("p"), F.lit(every)) == 0)
+        seen: dict[int | None, list[str]] = {}
+        for r in chosen.distinct().collect():
+            seen.setdefault(r["doc_id"], []).append(r["p"])
+        for c, texts in seen.items():
+            texts.sort()
+            picks = {texts[i * len(texts) // heavy[c]] for i in range(1, heavy[c])}
+            cuts += [(c is None, ~c if c is not None else 0, p) for p in picks if p]
+    return sorted(cuts)
+
+
+def beginning() -> Column:
+    return F.coalesce(F.substring("text", 1, BEGINNING), F.lit(""))
+
+
+def place() -> Column:
+    """A row's key in the order of descending doc_id, null last, then text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long")).alias("less"), beginning().alias("p"))
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
-    """``docs`` dealt into buckets of ``doc_id``, descending, every bucket followed
-    by the first row of the next one (``ghost``), the last by the very first.
+    """``docs`` dealt into buckets by doc_id, descending, then text, every bucket
+    followed by the first row of the next one (``ghost``), the last by the very first.
 
-    The bucket bounds are quantiles of doc_id; their number is that of the shuffle
-    partitions, so what the driver holds does not grow with the rows.
+    The number of buckets is that of the shuffle partitions, so what the driver
+    holds does not grow with the rows.
     """
     spark = docs.sparkSession
-    n = 3 * partitions_of(spark)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cuts = picked.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    last = len(cuts)
-    # bucket 0 holds the largest ids; a null id comes last
-    number = F.lit(last)
-    if cuts:
-        bounds = F.array(*[F.lit(c) for c in cuts])
-        number = F.coalesce(F.lit(last) - F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))), F.lit(last))
-    dealt = picked.withColumn("bucket", number.cast("int"))
+    cuts = [{"none": c[0], "less": c[1], "p": c[2]} for c in cut_points(picked, 3 * partitions_of(spark))]
+    bounds = F.from_json(F.lit(json.dumps(cuts)), "array<struct<none: boolean, less: long, p: string>>")
+    dealt = picked.withColumn("bucket", F.size(F.filter(bounds, lambda c: c <= place())))
     heads = dealt.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()
     order = sorted(((r["bucket"], r["head"]) for r in heads), key=lambda x: x[0])
-    before = [(order[i - 1][0], head) for i, (_, head) in enumerate(order)]  # the bucket before each head; the last for the first
     if not order:
         return dealt.withColumn("ghost", F.lit(False)).limit(0)
-    small = spark.createDataFrame(before, "bucket int, head long")
-    ghosts = picked.join(F.broadcast(small), picked["doc_id"].eqNullSafe(small["head"])).select("doc_id", "text", "bucket", F.lit(True).alias("ghost"))
+    # the bucket before each head; the last for the first
+    small = spark.createDataFrame([(b, order[i - 1][0], head) for i, (b, head) in enumerate(order)], "own int, before int, head long")
+    of_head = (dealt["bucket"] == small["own"]) & dealt["doc_id"].eqNullSafe(small["head"])
+    ghosts = dealt.join(F.broadcast(small), of_head).groupBy("before", "doc_id").agg(F.min(F.struct("text")).alias("first"))
+    ghosts = ghosts.select("doc_id", F.col("first.text").alias("text"), F.col("before").alias("bucket"), F.lit(True).alias("ghost"))
     both = dealt.withColumn("ghost", F.lit(False)).unionByName(ghosts)
     return both.repartition(partitions_of(spark), "bucket").sortWithinPartitions("bucket", "ghost", F.desc_nulls_last("doc_id"), F.asc_nulls_first("text"))
 

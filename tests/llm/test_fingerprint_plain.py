@@ -1,5 +1,6 @@
 """Fingerprints sampled anew a term at a time, and odd rows."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -56,3 +57,24 @@ def test_clashing_columns_repeated_rows_and_very_long_texts(spark):
     assert by[(5, len(long))]["near_next"] == 1.0 and by[(3, 11)]["fingerprint"] == plain("a b c d e f")
     kept = fp.fingerprint(docs)
     assert kept.columns == docs.columns and {r["bucket"] for r in kept.collect()} == {1}
+
+
+def test_rows_of_one_id_are_dealt_to_several_buckets(spark):
+    rng = random.Random(4)
+    rows = [(None, f"{rng.random()} none {i}") for i in range(300)] + [(7, f"{rng.random()} seven {i}") for i in range(300)]
+    rows += [(i, f"text {i}") for i in range(300)] + [(7, None), (7, ""), (None, None), (None, "")]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    dealt = fp.neighbours(docs)
+    sizes = Counter((r["doc_id"], r["bucket"]) for r in dealt.filter("not ghost").select("doc_id", "bucket").collect())
+    total = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for c in (None, 7):
+        mine = [n for (d, _), n in sizes.items() if d == c]
+        assert sum(mine) >= 302 and max(mine) < 4 * len(rows) / total
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    want = []
+    for k, (d, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        want.append((str(d), len(t), hashlib.sha256(fp.edited(t, after).encode()).hexdigest()))
+    got = [(str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in fp.fingerprint_report(docs).collect()]
+    assert sorted(got) == sorted(want)
