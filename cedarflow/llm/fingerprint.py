@@ -137,6 +137,26 @@ def place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long")).alias("less"), beginning().alias("p"))
 
 
+def bucket_of(cuts: list[tuple[bool, int, str]]) -> Column:
+    """How many of the cuts a row's key has reached; they are looked through by
+    groups first, then within one."""
+    width = math.isqrt(len(cuts)) + 1
+    groups = [[dict(zip(("none", "less", "p"), c, strict=True)) for c in cuts[i : i + width]] for i in range(0, len(cuts), width)]
+    kind = "struct<none: boolean, less: long, p: string>"
+    firsts = F.from_json(F.lit(json.dumps([g[0] for g in groups])), f"array<{kind}>")
+    members = F.from_json(F.lit(json.dumps(groups)), f"array<array<{kind}>>")
+
+    def reached(bounds: Column, key: Column) -> Column:
+        return F.size(F.filter(bounds, lambda c: c <= key))
+
+    def bucket(x: Column) -> Column:
+        return F.when(x["g"] > 0, (x["g"] - 1) * width + reached(F.get(members, x["g"] - 1), x["key"])).otherwise(0)
+
+    # a lambda's argument is worked out once, an expression within one for every cut
+    keyed = F.transform(F.array(place()), lambda k: F.struct(k.alias("key"), reached(firsts, k).alias("g")))
+    return F.get(F.transform(keyed, bucket), F.lit(0)).cast("int")
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
     """``docs`` dealt into buckets by doc_id, descending, then text, every bucket
     followed by the first row of the next one (``ghost``), the last by the very first.
@@ -146,9 +166,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cuts = [{"none": c[0], "less": c[1], "p": c[2]} for c in cut_points(picked, 3 * partitions_of(spark))]
-    bounds = F.from_json(F.lit(json.dumps(cuts)), "array<struct<none: boolean, less: long, p: string>>")
-    dealt = picked.withColumn("bucket", F.size(F.filter(bounds, lambda c: c <= place())))
+    dealt = picked.withColumn("bucket", bucket_of(cut_points(picked, 3 * partitions_of(spark))))
     heads = dealt.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()
     order = sorted(((r["bucket"], r["head"]) for r in heads), key=lambda x: x[0])
     if not order:
