@@ -43,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cedarflow.llm.common import discard, materialise, partitions_of, small_batches, spread
@@ -55,7 +55,6 @@ SIGMAS = 4
 BLOCK_SHINGLES = 1 << 20
 BLOCK_CLASSES = 4096
 RARE = 32
-SALTS = 16
 
 
 def sets_of(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -238,11 +237,16 @@ def hot_edges(entries: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     return dealt.select("v", "i", "j", "rep", "root", "block", "text").mapInArrow(run, "a long, b long").distinct()
 
 
-def with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """``edges`` with their nodes' m of ``least``; a node with very many edges is
-    dealt to ``SALTS`` places."""
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return salted.hint("merge").join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["u", "salt"]).drop("salt")
+def with_least(edges: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with the least v of their u as m.
+
+    A node's edges are dealt by salts, as many as there are shuffle partitions, and
+    only the salts that it has carry its m; so a node of very many edges is in no
+    one task, and others cost no more rows than they have edges.
+    """
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(partitions_of(edges.sparkSession))).cast("int"))
+    least = salted.groupBy("u", "salt").agg(F.min("v").alias("m")).select("u", "salt", F.min("m").over(Window.partitionBy("u")).alias("m"))
+    return salted.hint("merge").join(least, ["u", "salt"]).drop("salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,10 +255,9 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = here.unionByName(here.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = with_least(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = with_least(large, least).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        large = with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("v"))
+        small = with_least(large).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least).distinct()
         after = materialise(small, "edges")
         now = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         discard(here)
